@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patrika.llm import truncation
+from patrika.llm import leakage, truncation
 from patrika.sources.tables import read_table
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, item_id) of the documents that carry a passage of a test item."""
+    return leakage.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
+
+
+def p8_by_item(spark: SparkSession, folder: str) -> DataFrame:
+    """Every test item with the number of documents it leaked into."""
+    leaks = p8_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    items = read_table(spark, folder, "eval_items").select("item_id", "suite").distinct()
+    return items.join(leaks, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id) of the documents that stop within a sentence."""
     return truncation.find_truncated(read_table(spark, folder, "documents")).where("cut").select("doc_id")
@@ -19,5 +31,5 @@ def p9_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.find_truncated(read_table(spark, folder, "documents")))
 
 
-QUERIES = {"p9_found": p9_found, "p9_by_source": p9_by_source}
+QUERIES = {"p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 ORACLES: dict[str, str] = {}
