@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patrika.llm import leakage, truncation
+from patrika.llm import leakage, survivor, truncation
 from patrika.sources.tables import read_table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(job_id, field_name, candidate_id) of the candidates that state the surviving fact of their field in full."""
+    rows = survivor.surviving_candidates(read_table(spark, folder, "field_candidates"))
+    return rows.where((F.col("ids") > 1) & (F.col("fact") == F.col("winner"))).select("job_id", "field_name", "candidate_id")
+
+
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One surviving record for each job."""
+    return survivor.surviving_records(read_table(spark, folder, "field_candidates"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, item_id) of the documents that carry a passage of a test item."""
     return leakage.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
@@ -31,5 +42,5 @@ def p9_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.find_truncated(read_table(spark, folder, "documents")))
 
 
-QUERIES = {"p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
+QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 ORACLES: dict[str, str] = {}
