@@ -3,8 +3,9 @@
 The index is sharded by document: every task keeps the positional postings of the test terms in its
 own documents, so no posting is shuffled. Test terms get their document frequency from one pass over all
 documents. Each item then asks for its rarest terms first: the smallest set of positions, taken by rising
-frequency, that puts `per_window` of them into every window of the least passage. Their postings, moved back by
-the term's offset in the item, are intersected; lists that meet within `slack` words are a candidate. Candidates
+frequency, that puts a given number of them into every window of the least passage. A passage that keeps its share of
+the weight can lose few of these, as they weigh most, so the others must meet: their postings, moved back by the
+term's offset in the item, are intersected, and `needed` lists that meet within `slack` words are a candidate. Candidates
 are read word by word: the best passage is the run of matched words in their order that allows altered,
 missing and added words, weighted by rarity, so that a question of like shape with other names and figures fails.
 """
@@ -47,6 +48,27 @@ def anchor_positions(words: list[str], frequency: dict[str, int], window: int, p
     return chosen
 
 
+def anchor_plan(words: int, least: float, share: float) -> tuple[int, int, int]:
+    """(window, anchors in every window, anchors that a passage must meet) for an item of so many words."""
+    window = max(1, math.ceil(words * least))
+    lost = math.floor((1 - share) * window)
+    needed = min(window, lost + 2)
+    return window, min(window, needed + lost), max(1, min(needed, window - lost))
+
+
+def could_hold(item: list[str], held: set[str], weight: list[float], window: int, share: float) -> bool:
+    """Whether any span of at least `window` words has `share` of its weight in words of the document, in whatever order."""
+    total, sums, least = 0.0, [0.0], 0.0
+    for i, word in enumerate(item):
+        total += weight[i] * (1 - share) if word in held else -weight[i] * share
+        sums.append(total)
+        if i + 1 >= window:
+            least = min(least, sums[i + 1 - window]) if i + 1 > window else 0.0
+            if total >= least:
+                return True
+    return False
+
+
 def best_passage(item: list[str], doc: list[str], offset: int, weight: list[float], slack: int, penalty: float = 2.0) -> tuple[int, float]:
     """(words of the item that the best passage near `offset` spans, share of their weight that is matched)."""
     nd, d, last = len(doc), offset, len(item) - 1
@@ -92,13 +114,16 @@ def _frequencies(vocabulary: set[str]):
     return count
 
 
-def _search(items: list[tuple[int, list[str]]], frequency: dict[str, int], least: float, share: float, per_window: int, slack: int):
+def _search(items: list[tuple[int, list[str]]], frequency: dict[str, int], least: float, share: float, slack: int):
     documents = max(1, frequency.get("", 1))
     postings: dict[str, list[tuple[int, int]]] = {}
-    weights = []
+    weights, needed, windows = [], [], []
     for number, (_, words) in enumerate(items):
         weights.append([math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 0.01 for w in words])
-        for k in anchor_positions(words, frequency, max(1, math.ceil(len(words) * least)), per_window):
+        window, per_window, need = anchor_plan(len(words), least, share)
+        needed.append(need)
+        windows.append(window)
+        for k in anchor_positions(words, frequency, window, per_window):
             postings.setdefault(words[k], []).append((number, k))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,17 +134,23 @@ def _search(items: list[tuple[int, list[str]]], frequency: dict[str, int], least
                     continue
                 words = WORD.findall(text.lower())
                 meets: dict[int, list[int]] = {}
+                held: set[str] | None = None
                 for p, w in enumerate(words):
                     if w in postings:
                         for number, k in postings[w]:
                             meets.setdefault(number, []).append(p - k)
                 for number, offsets in meets.items():
-                    # a passage meets two anchors unless its item has only one
-                    need = 2 if len(items[number][1]) > 1 else 1
+                    need = needed[number]
                     if len(offsets) < need:
                         continue
                     offsets.sort()
                     item, weight, tried = items[number][1], weights[number], None
+                    if all(b - a > slack for a, b in zip(offsets, offsets[need - 1 :])):
+                        continue
+                    if held is None:
+                        held = set(words)
+                    if not could_hold(item, held, weight, windows[number], share):
+                        continue
                     for a, b in zip(offsets, offsets[need - 1 :]):
                         if b - a > slack or tried is not None and a - tried <= 1:
                             continue
@@ -135,7 +166,7 @@ def _search(items: list[tuple[int, list[str]]], frequency: dict[str, int], least
     return search
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: float = 1 / 3, share: float = 0.85, per_window: int = 4, slack: int = 12) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, least: float = 1 / 3, share: float = 0.85, slack: int = 12) -> DataFrame:
     """(doc_id, item_id), once for each document of `documents` (doc_id, text) that holds a passage of an item (item_id, body).
 
     A passage spans at least `least` of the item's words, in their order, and matches `share` of them by weight.
@@ -153,5 +184,5 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = 1 / 3, sha
         vocabulary = {w for _, words in queries for w in words}
         counted = pairs.select("text").mapInArrow(_frequencies(vocabulary), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
         frequency = {r.term: r.n for r in counted.collect()}
-        results.append(pairs.mapInArrow(_search(sorted(queries), frequency, least, share, per_window, slack), "doc_id bigint, item_id bigint"))
+        results.append(pairs.mapInArrow(_search(sorted(queries), frequency, least, share, slack), "doc_id bigint, item_id bigint"))
     return reduce(DataFrame.unionByName, results).distinct()
