@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patrika.llm import leakage, survivor, truncation
+from patrika.llm import leakage, scanned, survivor, truncation
 from patrika.sources.tables import read_table
 
 
@@ -20,6 +20,25 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.surviving_records(read_table(spark, folder, "field_candidates"))
 
 
+def _scans(spark: SparkSession, folder: str) -> DataFrame:
+    jobs = read_table(spark, folder, "jobs").select(F.lit("detailed_description").alias("field_name"), F.col("id").alias("record_id"), F.col("detailed_description").alias("text"))
+    notices = read_table(spark, folder, "raw_notifications").select(F.lit("pdf_text").alias("field_name"), F.col("canonical_key").alias("record_id"), F.col("pdf_text").alias("text"))
+    return jobs.unionByName(notices).where(F.col("text").isNotNull())
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(field_name, record_id, line_no, defect) of every line of page furniture, split word and misread line."""
+    texts = _scans(spark, folder)
+    repaired = scanned.repair_scans(texts, scanned.fit_editor(texts))
+    return repaired.select("field_name", "record_id", F.explode("defects").alias("d")).select("field_name", "record_id", "d.line_no", "d.defect").distinct()
+
+
+def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """(field_name, record_id, repaired): every text as continuous paragraphs."""
+    texts = _scans(spark, folder)
+    return scanned.repair_scans(texts, scanned.fit_editor(texts)).select("field_name", "record_id", "repaired")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, item_id) of the documents that carry a passage of a test item."""
     return leakage.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
@@ -42,5 +61,5 @@ def p9_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.find_truncated(read_table(spark, folder, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
+QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_repaired": p6_repaired, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 ORACLES: dict[str, str] = {}

@@ -225,7 +225,7 @@ def furniture_lines(lines: list[str]) -> set[int]:
         return set()
     out: set[int] = set()
     for k, i in enumerate(filled):
-        if _FOOT.match(lines[i]) and not (k and lines[filled[k - 1]].rstrip().endswith(":")):
+        if _FOOT.match(lines[i]) and not (k and lines[i].strip().isdigit() and lines[filled[k - 1]].rstrip().endswith(":")):
             out.add(i)
     starts = [filled[0], *(filled[k + 1] for k, i in enumerate(filled[:-1]) if i in out)]
     heads: list[str] = []
@@ -256,9 +256,26 @@ def furniture_lines(lines: list[str]) -> set[int]:
         for i in filled:
             if i not in out and any(_alike(_plain(lines[i]), h) for h in heads) and not lines[i].rstrip().endswith("."):
                 out.add(i)
+    # a title that stands between lines of running text and leaves room at its end was not put there by wrapping
+    for k, i in enumerate(filled[1:-1], 1):
+        line = lines[i].strip()
+        if i in out or line.endswith((".", ":", ";", ",", "।", "?")) or _TABLE.search(line) or _SPLIT_END.search(line):
+            continue
+        words = [w.lstrip("(") for w in line.split() if w.lstrip("(")[:1].isalpha()]
+        upper = [w for w in words if w[0].isupper()]
+        after = next((lines[j] for j in filled[k + 1 :] if j not in out), "")
+        if len(upper) >= 2 and all(w[0].isupper() or w in ("of", "the", "for", "to", "and", "post", "key") for w in words) and after and len(lines[i].rstrip()) + 3 + len(after.split()[0]) <= width:
+            out.add(i)
     for i in filled:
         if i not in out and _HEAD_NUMBER.search(lines[i]) and not re.search(r"\d\s{2,}\d", lines[i]) and len(lines[i]) <= width + 14 and re.search(r"[A-Za-z]{3}", lines[i]):
             out.add(i)
+    # a number that answers a label is text, even with a page's head between them
+    label = False
+    for i in filled:
+        if label and i in out and lines[i].strip().isdigit():
+            out.discard(i)
+        if i not in out:
+            label = lines[i].rstrip().endswith(":")
     return out
 
 
