@@ -1,3 +1,10 @@
 """patrika: a PySpark-native engine for notice documents, their fields and their listings."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in Python workers travel with their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
