@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patrika.llm import leakage, scanned, survivor, truncation
+from patrika.llm import boilerplate, leakage, scanned, survivor, truncation
 from patrika.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(raw_item_id, line_no) of every line that belongs to the notice itself."""
+    return boilerplate.main_lines(read_table(spark, folder, "raw_items"))
+
+
+def p1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """(raw_item_id, main_text): the notice of each page."""
+    return boilerplate.main_text(read_table(spark, folder, "raw_items"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """(job_id, field_name, candidate_id) of the candidates that state the surviving fact of their field in full."""
     rows = survivor.surviving_candidates(read_table(spark, folder, "field_candidates"))
@@ -61,5 +71,5 @@ def p9_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.find_truncated(read_table(spark, folder, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_repaired": p6_repaired, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
+QUERIES = {"p1_found": p1_found, "p1_main_text": p1_main_text, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_repaired": p6_repaired, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 ORACLES: dict[str, str] = {}
