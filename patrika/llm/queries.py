@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patrika.llm import boilerplate, leakage, scanned, survivor, truncation
+from patrika.llm import boilerplate, leakage, names, scanned, survivor, truncation
 from patrika.sources.tables import read_table
 
 
@@ -30,6 +30,23 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.surviving_records(read_table(spark, folder, "field_candidates"))
 
 
+def _name_classes(spark: SparkSession, folder: str) -> DataFrame:
+    jobs = read_table(spark, folder, "jobs")
+    states = [r[0] for r in jobs.select("state").where("state is not null").distinct().limit(1000).collect()]
+    field = lambda c: jobs.select(F.lit(c).alias("field_name"), F.col(c).alias("name"))
+    return names.name_classes(field("organization").unionByName(field("post_name")), states)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(field_name, name_a, name_b) of every two spellings of one body or post."""
+    return names.name_pairs(_name_classes(spark, folder))
+
+
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with its occurrences and its class."""
+    return _name_classes(spark, folder)
+
+
 def _scans(spark: SparkSession, folder: str) -> DataFrame:
     jobs = read_table(spark, folder, "jobs").select(F.lit("detailed_description").alias("field_name"), F.col("id").alias("record_id"), F.col("detailed_description").alias("text"))
     notices = read_table(spark, folder, "raw_notifications").select(F.lit("pdf_text").alias("field_name"), F.col("canonical_key").alias("record_id"), F.col("pdf_text").alias("text"))
@@ -71,5 +88,5 @@ def p9_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.find_truncated(read_table(spark, folder, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_main_text": p1_main_text, "p2_found": p2_found, "p2_records": p2_records, "p6_found": p6_found, "p6_repaired": p6_repaired, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
+QUERIES = {"p1_found": p1_found, "p1_main_text": p1_main_text, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_repaired": p6_repaired, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 ORACLES: dict[str, str] = {}
