@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patrika.llm import boilerplate, leakage, names, scanned, survivor, truncation
+from patrika.llm import boilerplate, leakage, names, packing, scanned, survivor, truncation
 from patrika.sources.tables import read_table
 
 
@@ -66,6 +66,16 @@ def p6_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.repair_scans(texts, scanned.fit_editor(texts)).select("field_name", "record_id", "repaired")
 
 
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """(capacity_tokens, container_no, doc_id, piece_no, tokens) of every text for each container size."""
+    return packing.packed_texts(read_table(spark, folder, "documents"), read_table(spark, folder, "containers"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each size are."""
+    return packing.fill_report(p7_packed(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, item_id) of the documents that carry a passage of a test item."""
     return leakage.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
@@ -88,5 +98,5 @@ def p9_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.find_truncated(read_table(spark, folder, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_main_text": p1_main_text, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_repaired": p6_repaired, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
+QUERIES = {"p1_found": p1_found, "p1_main_text": p1_main_text, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 ORACLES: dict[str, str] = {}
