@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patrika.llm import boilerplate, leakage, names, packing, scanned, survivor, truncation
+from patrika.llm import boilerplate, leakage, names, packing, scanned, survivor, titles, truncation
 from patrika.sources.tables import read_table
 
 
@@ -47,6 +47,23 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return _name_classes(spark, folder)
 
 
+def _titles(spark: SparkSession, folder: str) -> DataFrame:
+    jobs = read_table(spark, folder, "jobs").select(F.lit("jobs.title").alias("field_name"), "id", "title")
+    items = read_table(spark, folder, "raw_items").select(F.lit("raw_items.title_raw").alias("field_name"), "id", F.col("title_raw").alias("title"))
+    return jobs.unionByName(items)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(field_name, id_a, id_b) of every two rows of a table that announce the same notice."""
+    rows = _titles(spark, folder)
+    return titles.notice_pairs(rows, titles.notice_classes(rows))
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every title with its class."""
+    return titles.notice_classes(_titles(spark, folder))
+
+
 def _scans(spark: SparkSession, folder: str) -> DataFrame:
     jobs = read_table(spark, folder, "jobs").select(F.lit("detailed_description").alias("field_name"), F.col("id").alias("record_id"), F.col("detailed_description").alias("text"))
     notices = read_table(spark, folder, "raw_notifications").select(F.lit("pdf_text").alias("field_name"), F.col("canonical_key").alias("record_id"), F.col("pdf_text").alias("text"))
@@ -98,5 +115,5 @@ def p9_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation_by_source(truncation.find_truncated(read_table(spark, folder, "documents")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_main_text": p1_main_text, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
+QUERIES = {"p1_found": p1_found, "p1_main_text": p1_main_text, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_by_item": p8_by_item, "p9_found": p9_found, "p9_by_source": p9_by_source}
 ORACLES: dict[str, str] = {}
