@@ -40,3 +40,13 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     """`frame` written to the shared checkpoint folder and read from there."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame, *columns: str) -> DataFrame:
+    """`frame` by the hash of `columns` in a fixed number of partitions, for work that is heavy for its bytes.
+
+    Adaptive execution would join such partitions by their size. The number follows the session's shuffle partitions.
+    """
+    conf = frame.sparkSession.conf
+    n = max(int(conf.get("spark.sql.shuffle.partitions")), 2 * frame.sparkSession.sparkContext.defaultParallelism)
+    return frame.repartition(n, *columns)
