@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from patrika.llm.components import connected_components
 from patrika.llm.names import SCOPE, SYNONYMS, abbreviates, align, correct_words, edits, words_of
-from patrika.session import cut_lineage
+from patrika.session import cut_lineage, spread
 
 # Stages of a notice and the words that say so.
 STAGES = {
@@ -312,7 +312,7 @@ def notice_classes(titles: DataFrame, radius: int = 4, shard_rows: int = 4000, s
         routed = large.unionByName(small)
     else:
         routed = printed.withColumn("shard", F.lit(-1))
-    links = routed.groupBy(*key, "shard").applyInPandas(_links(radius), "field_name string, year string, stage string, number string, src string, dst string")
+    links = spread(routed, *key, "shard").groupBy(*key, "shard").applyInPandas(_links(radius), "field_name string, year string, stage string, number string, src string, dst string")
     tag = lambda c: F.concat_ws("\x01", *key, c)
     classes = connected_components(links.select(tag("src").alias("src"), tag("dst").alias("dst")))
     named = sigs.withColumn("node", F.when(F.col("sig") == "", F.concat_ws("\x01", "field_name", F.lit("="), "title")).otherwise(tag("sig")))
