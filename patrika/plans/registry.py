@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from patrika.plans import dates
+from patrika.plans import dates, records
 
-MODULES = [dates]
+MODULES = [dates, records]
 
 
 def queries() -> dict:
