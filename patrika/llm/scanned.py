@@ -305,14 +305,18 @@ class Reader:
         """Whether the hyphen between two parts came from the line end and not from the word."""
         if mark != "-":
             return True
-        a, b = (apply(x.lower(), self.edits(x)) for x in (left, right))
         count = self.editor.counts
-        hyphened, joined = count.get(f"{a}-{b}", 0), count.get(a.rsplit("-", 1)[-1] + b, 0)
-        if "-" in a:
-            hyphened = max(hyphened, count.get(f"{a.rsplit('-', 1)[-1]}-{b}", 0))
+        hyphened = joined = halves = 0
+        # a part that no text has on its own must not be corrected before it is read with the other
+        for a in {left.lower(), apply(left.lower(), self.edits(left))}:
+            for b in {right.lower(), apply(right.lower(), self.edits(right))}:
+                last = a.rsplit("-", 1)[-1]
+                hyphened = max(hyphened, count.get(f"{a}-{b}", 0), count.get(f"{last}-{b}", 0))
+                joined = max(joined, count.get(last + b, 0))
+                halves = max(halves, min(count.get(a, 0), count.get(b, 0)))
         if hyphened or joined:
             return joined >= hyphened
-        return not (count.get(a, 0) > 50 and count.get(b, 0) > 50)
+        return halves <= 50
 
     def read(self, text: str) -> tuple[list[tuple[int, str]], str]:
         """((line_no, defect) pairs, the repaired text)."""
