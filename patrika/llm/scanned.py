@@ -236,7 +236,7 @@ def furniture_lines(lines: list[str]) -> set[int]:
             return False
         if _FILE_NUMBER.match(line) or _HEAD_NUMBER.search(lines[i]):
             return True
-        if _TABLE.search(line) or _SPLIT_END.search(line) or not any(c.isalpha() for c in line):
+        if _TABLE.search(line) or _SPLIT_END.search(line[-120:]) or not any(c.isalpha() for c in line):
             return False
         later = [j for j in filled if j > i]
         if not later:
@@ -259,7 +259,7 @@ def furniture_lines(lines: list[str]) -> set[int]:
     # a title that stands between lines of running text and leaves room at its end was not put there by wrapping
     for k, i in enumerate(filled[1:-1], 1):
         line = lines[i].strip()
-        if i in out or line.endswith((".", ":", ";", ",", "।", "?")) or _TABLE.search(line) or _SPLIT_END.search(line):
+        if i in out or line.endswith((".", ":", ";", ",", "।", "?")) or _TABLE.search(line) or _SPLIT_END.search(line[-120:]):
             continue
         words = [w.lstrip("(") for w in line.split() if w.lstrip("(")[:1].isalpha()]
         upper = [w for w in words if w[0].isupper()]
@@ -346,7 +346,7 @@ class Reader:
                 first = len(carried)
                 carried = None
             joins = None
-            m = _SPLIT_END.search(line)
+            m = _SPLIT_END.search(line.rstrip()[-120:])
             if m and k + 1 < len(body):
                 after = next((lines[j] for j in body[k + 1 : k + 4] if lines[j].strip()), "")
                 head = after.split()[0].strip(strip) if after else ""

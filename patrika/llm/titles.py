@@ -111,7 +111,7 @@ def fingerprint(words: list[str], common: set[str]) -> tuple[int, int]:
 class VantageTree:
     """A vantage-point tree over 128-bit fingerprints; leaves are compared in one go."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 64, seed: int = 1):
+    def __init__(self, points: np.ndarray, leaf: int = 512, seed: int = 1):
         self.points, self.leaf = points, leaf
         self.rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(points)))
@@ -153,6 +153,33 @@ class VantageTree:
         return out
 
 
+    def pairs(self, radius: int, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (i, j) with i > j within the radius: the whole set of queries goes down the tree at once and splits as it is pruned."""
+        high, low = np.ascontiguousarray(self.points[:, 0]), np.ascontiguousarray(self.points[:, 1])
+
+        def close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            d = np.bitwise_count(high[a][:, None] ^ high[b][None, :]) + np.bitwise_count(low[a][:, None] ^ low[b][None, :])
+            i, j = np.nonzero(d <= radius)
+            i, j = a[i], b[j]
+            return i[i > j], j[i > j]
+
+        stack = [(self.root, np.arange(len(self.points)))]
+        while stack:
+            node, asked = stack.pop()
+            if isinstance(node, np.ndarray):
+                for k in range(0, len(asked), rows):
+                    yield close(asked[k : k + rows], node)
+                continue
+            vantage, middle, near, far = node
+            d = self._distances(asked, self.points[vantage])
+            hit = asked[(d <= radius) & (asked > vantage)]
+            yield hit, np.full(len(hit), vantage)
+            # the vantage point is in neither branch: it asks as a query, and answers here
+            for branch, chosen in ((near, asked[d - radius <= middle]), (far, asked[d + radius > middle])):
+                if len(chosen):
+                    stack.append((branch, chosen))
+
+
 def plan_shards(sample: list[tuple[int, int]], depth: int, seed: int = 5) -> list[tuple[int, int, int]]:
     """Vantage points and medians of the upper levels of a tree, heap order: (high, low, middle)."""
     rng = random.Random(seed)
@@ -199,9 +226,9 @@ def _links(radius: int):
         tree = VantageTree(points)
         words = [r.sig.split(" ") for r in rows]
         out = []
-        for i, point in enumerate(points):
-            for j in tree.within(point, radius):
-                if j < i and align(words[i], words[j], set()) > 0:
+        for left, right in tree.pairs(radius):
+            for i, j in zip(left.tolist(), right.tolist()):
+                if align(words[i], words[j], set()) > 0:
                     out.append((rows[i].sig, rows[j].sig))
         key = group.iloc[0]
         return pd.DataFrame([(key.field_name, key.year, key.stage, key.number, a, b) for a, b in out], columns=["field_name", "year", "stage", "number", "src", "dst"])
@@ -259,7 +286,7 @@ def _phrases(most: int):
 
 def short_forms(words: DataFrame, often: int) -> DataFrame:
     """(word, fixed) for words that are short forms of a word found in `often` titles or more, or acronyms of a run of words."""
-    counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     capitals = counts.where(F.col("word").startswith("=")).select(F.substring("word", 2, 10).alias("initials"), F.col("n").alias("capital_n"))
     # in a title all in capitals any short word looks like an acronym, in one without them none does
     capitals = capitals.join(counts.select(F.col("word").alias("initials"), F.col("n").alias("plain_n")), "initials", "left").withColumn("plain_n", F.coalesce("plain_n", F.lit(0)))
@@ -267,6 +294,7 @@ def short_forms(words: DataFrame, often: int) -> DataFrame:
     words_only = capitals.where("capital_n < plain_n").select(F.concat(F.lit("="), "initials").alias("word"), F.col("initials").alias("fixed"))
     phrases = words.select("words").mapInArrow(_phrases(5), "initials string, phrase string, n bigint")
     best = phrases.join(acronyms, "initials", "left_semi").groupBy("initials", "phrase").agg(F.sum("n").alias("n")).groupBy("initials").agg(F.max(F.struct("n", "phrase"))["phrase"].alias("fixed"))
+    best = cut_lineage(best)
     expanded = best.select(F.explode(F.array(F.concat(F.lit("="), "initials"), "initials")).alias("word"), "fixed").unionByName(words_only)
     # full words by their first letter; a letter has few words that so many titles hold
     full = counts.where((F.col("n") >= often) & (F.length("word") >= 5) & ~F.col("word").startswith("=")).select(F.col("word").alias("fixed"), F.col("n").alias("full_n"), F.substring("word", 1, 1).alias("first"))
@@ -289,7 +317,7 @@ def notice_classes(titles: DataFrame, radius: int = 4, shard_rows: int = 4000, s
     read = cut_lineage(once.mapInArrow(_read, "field_name string, title string, n bigint, year string, stage string, number string, words array<string>"))
     total = read.count()
     fixes = correct_words(read.select(F.lit("").alias("field_name"), "words", "n")).where("word != fixed").select("word", "fixed")
-    fixed = _replaced(read, fixes)
+    fixed = cut_lineage(_replaced(read, fixes))
     often = max(20, total // 1000)
     spelled = cut_lineage(_replaced(fixed, short_forms(fixed, often)))
     held = spelled.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where(F.col("count") >= max(2, total // 50))

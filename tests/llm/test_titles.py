@@ -21,6 +21,8 @@ def test_tree_equals_all_distances(points, radius, twist):
     for p in points[:5]:
         want = {i for i, q in enumerate(points) if (p ^ q).bit_count() <= radius}
         assert set(tree.within(halves([p])[0], radius)) == want
+    got = [(i, j) for a, b in tree.pairs(radius, 7) for i, j in zip(a.tolist(), b.tolist())]
+    assert sorted(got) == [(i, j) for i in range(len(points)) for j in range(i) if (points[i] ^ points[j]).bit_count() <= radius]
 
 
 @given(st.lists(st.integers(0, 2**128 - 1), min_size=8, max_size=60), st.integers(0, 40))
