@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patrika.session import cut_lineage
+
 
 def search_tokens(query: str) -> list[str]:
     """Lower-case words of two characters or more; the whole query if there are none."""
@@ -64,6 +66,28 @@ def nested_children(parents: DataFrame, children: DataFrame, key: str, fields: S
     return parents.join(lists, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(lists.schema[name].dataType)))
 
 
+def nested_chunks(parents: DataFrame, children: DataFrame, key: str, order: Sequence[str], name: str, size: int) -> DataFrame:
+    """(key, chunk, name): the children of each parent in arrays of at most `size`, numbered from 0 in the given order; one empty chunk where there are none.
+
+    Children are sorted in ranges of key and order, so that those of one parent lie in several tasks; their places are
+    counted by range, then across ranges. `order` must tell children of one parent apart.
+    """
+    held = children.join(parents.select(key), key, "left_semi")
+    conf = parents.sparkSession.conf
+    n = max(int(conf.get("spark.sql.shuffle.partitions")), 2 * parents.sparkSession.sparkContext.defaultParallelism)
+    # written once: ranges are sampled, and both readers must see the same
+    ranged = cut_lineage(held.repartitionByRange(n, key, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(key, "_range", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)) - 1
+    numbered = ranged.withColumn("_place", place).join(starts, [key, "_range"])
+    chunk = F.floor((F.col("_before") + F.col("_place")) / size).cast("bigint")
+    lists = numbered.groupBy(key, chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias(name))
+    childless = parents.join(counts.select(key).distinct(), key, "left_anti").select(key, F.lit(0).cast("bigint").alias("chunk"), F.array().cast(lists.schema[name].dataType).alias(name))
+    return lists.unionByName(childless)
+
+
 def slug_or_id(rows: DataFrame, wanted: str, slug: str, ident: str) -> DataFrame:
     """The row whose slug matches, else the one whose id does; ties by id."""
     rank = F.when(F.col(slug) == wanted, 0).when(F.col(ident).cast("string") == wanted, 1)

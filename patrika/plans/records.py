@@ -102,6 +102,15 @@ def nested_items_of_source(t, spark) -> DataFrame:
     return nested.select(F.col("sid").alias("id"), F.size("items_").cast("bigint").alias("items"), F.array_join(F.transform("items_", lambda x: x["item"]), ",").alias("item_ids"))
 
 
+@query("""SELECT s.id, coalesce(c.chunk, 0) AS chunk, count(c.id) AS items, coalesce(string_agg(c.id, ',' ORDER BY c.id), '') AS item_ids FROM (SELECT DISTINCT id FROM sources) s
+LEFT JOIN (SELECT source_id, id, (row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) // 1000 AS chunk FROM (SELECT DISTINCT source_id, id FROM raw_items WHERE id IS NOT NULL)) c
+ON c.source_id = s.id GROUP BY s.id, c.chunk""")
+def nested_chunks_of_source(t, spark) -> DataFrame:
+    children = t("raw_items").where("id is not null").select(F.col("source_id").alias("sid"), F.col("id").alias("item")).distinct()
+    nested = listing.nested_chunks(t("sources").select(F.col("id").alias("sid")).distinct(), children, "sid", ["item"], "items_", 1000)
+    return nested.select(F.col("sid").alias("id"), "chunk", F.size("items_").cast("bigint").alias("items"), F.array_join(F.transform("items_", lambda x: x["item"]), ",").alias("item_ids"))
+
+
 @query("""SELECT job_id, value, next_confidence FROM (SELECT job_id, value, lead(confidence) OVER w AS next_confidence, row_number() OVER w AS k
 FROM (SELECT DISTINCT job_id, id, value, confidence FROM field_candidates WHERE field_name = 'salary') WINDOW w AS (PARTITION BY job_id ORDER BY confidence DESC NULLS LAST, id)) WHERE k = 1""")
 def best_and_runner_up(t, spark) -> DataFrame:

@@ -85,3 +85,22 @@ def test_zip_and_candidates(spark):
     assert got == {"a": "files.zip", "b": "only"}
     tries = spark.createDataFrame([(1, 10, "s"), (1, 30, "m"), (1, 60, "l"), (2, 70, "x"), (2, 90, "y")], "k int, size int, q string")
     assert {r.k: r.q for r in binary.pick_candidate(tries, "k", "size", F.lit(40), F.lit(80)).collect()} == {1: "m", 2: "x"}
+
+
+def test_nested_chunks_hold_all_children_in_bounded_arrays(spark):
+    parents = spark.createDataFrame([("hot",), ("one",), ("none",)], "k string")
+    ids = [f"i{n:04d}" for n in range(1000)]
+    children = spark.createDataFrame([("hot", i) for i in reversed(ids)] + [("one", "x"), ("gone", "y"), (None, "z")], "k string, item string")
+    got = {(r.k, r.chunk): [x["item"] for x in r.items_] for r in listing.nested_chunks(parents, children, "k", ["item"], "items_", 64).collect()}
+    assert got == {("hot", n): ids[64 * n : 64 * n + 64] for n in range(16)} | {("one", 0): ["x"], ("none", 0): []}
+    assert {(r.k, r.chunk, len(r.items_)) for r in listing.nested_chunks(parents, children.limit(0), "k", ["item"], "items_", 64).collect()} == {("hot", 0, 0), ("one", 0, 0), ("none", 0, 0)}
+
+
+def test_nested_chunks_query_reads_every_notice_type(spark, sf):
+    from patrika.plans import registry
+    from patrika.sources.tables import read_table
+
+    rows = registry.queries()["nested_chunks_of_source"](spark, sf)
+    items = read_table(spark, sf, "raw_items").join(read_table(spark, sf, "sources").select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    assert rows.agg(F.sum("items")).first()[0] == items.select("source_id", "id").distinct().count()
+    assert rows.agg(F.max("items")).first()[0] <= 1000
