@@ -118,6 +118,14 @@ def best_and_runner_up(t, spark) -> DataFrame:
     return listing.best_and_runner_up(rows, ["job_id"], "confidence", [F.col("id")]).select("job_id", "value", F.col("next_score").alias("next_confidence"))
 
 
+@query("""SELECT job_id, field_name, value, next_confidence FROM (SELECT job_id, field_name, value, lead(confidence) OVER w AS next_confidence, row_number() OVER w AS k
+FROM (SELECT DISTINCT job_id, field_name, id, value, confidence FROM field_candidates) WINDOW w AS (PARTITION BY job_id, field_name ORDER BY confidence DESC NULLS LAST, id, value)) WHERE k = 1""")
+def best_and_runner_up_by_field(t, spark) -> DataFrame:
+    rows = t("field_candidates").select("job_id", "field_name", "id", "value", "confidence").distinct()
+    best = listing.best_and_runner_up(rows, ["job_id", "field_name"], "confidence", [F.col("id"), F.col("value").asc_nulls_last()])
+    return best.select("job_id", "field_name", "value", F.col("next_score").alias("next_confidence"))
+
+
 @query("SELECT source_key, name FROM sources WHERE source_key = 'banking_jobs_000' OR id = 'banking_jobs_000' ORDER BY (source_key = 'banking_jobs_000') DESC, id LIMIT 1")
 def lookup_by_key(t, spark) -> DataFrame:
     return listing.slug_or_id(t("sources"), "banking_jobs_000", "source_key", "id").select("source_key", "name")
@@ -266,6 +274,15 @@ def field_pivot(t, spark) -> DataFrame:
     return fuse.pivot_fields(t("field_candidates"), "job_id", ["salary", "age_limit", "total_vacancies"])
 
 
+_FIELDS = ["age_limit", "application_end_date", "application_fee", "application_start_date", "qualification", "salary", "selection_process", "total_vacancies"]
+_PIVOT = ", ".join(f"min(value) FILTER (field_name = '{f}') AS {f}" for f in _FIELDS)
+
+
+@query(f"SELECT job_id, {_PIVOT} FROM field_candidates GROUP BY job_id")
+def field_pivot_whole(t, spark) -> DataFrame:
+    return fuse.pivot_fields(t("field_candidates"), "job_id", _FIELDS)
+
+
 _PRIORITY = "CASE source_type WHEN 'manual' THEN 700 WHEN 'official_pdf' THEN 600 WHEN 'official_page' THEN 500 WHEN 'apply_page' THEN 400 WHEN 'regex' THEN 300 WHEN 'llm' THEN 200 WHEN 'aggregator' THEN 100 ELSE 0 END"
 
 
