@@ -3,9 +3,12 @@
 Three kinds of noise are found line by line: page furniture (running heads, feet, page numbers), words split by the line
 end, and misread characters. Furniture is told by where a line stands on its page, by its form, and by whether it
 comes again. Characters are corrected by an averaged perceptron that chooses, for each word, between keeping it and
-edits that replace, delete or insert characters, or join it with the next line's first word. It is trained on words of
+replacing characters by the pairs of LETTER_SLIPS and DIGIT_SLIPS, one or two a word. It is trained on words of
 the corpus that are spoilt at random, and sees how often a word and its correction occur in all texts.
 
+The rest are fixed rules: furniture (furniture_lines) and the joining of split words (split_here, by counts of the
+whole word and its parts). A character that is lost, or added beyond those pairs, is not found.
+
 Word counts cover all texts; the lexicon kept from them is bounded by `lexicon_words`, the training sample by
 `sample_words`. Both are parameters of the model. Decisions are kept per distinct word, so a text costs one
 look-up a word.
