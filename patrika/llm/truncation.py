@@ -11,6 +11,7 @@ that go either way, the bar moves with the baseline of the source, the share of
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +31,10 @@ _ABBREVIATED = re.compile(r"(?:^|[\s(])(?:rs|no|dr|shri|smt|advt|govt|dt|sr|jr|a
 _ENDED = re.compile(r"[.?!।][\"')\]]*$")
 _DIGITS = re.compile(r"\d+")
 _SIGNED = re.compile(r"(?:^|\n)\s*sd/?-[^\n]*(?:\n[^\n]{0,120}){0,3}$", re.I)
-_BRACKETS = re.compile(r"[()\[\]{}“”]")
+_BRACKETS = re.compile(r"[()\[\]{}“”\"]|<(/?)([a-z][a-z0-9]*)(?:\s[^<>]*)?>", re.I)
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“"}
+# Elements that need an end tag.
+_ENDING = {"a", "b", "i", "u", "em", "strong", "span", "small", "sup", "sub", "div", "table", "ul", "ol", "dl", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "section", "article", "form", "font", "center"}
 
 _SCHEMA = "kind string, doc_id bigint, source string, key1 string, key2 string, key3 string, n bigint, ended bigint, words int, flags int"
 #: What an end leaves open, as bits of `flags`.
@@ -39,16 +42,32 @@ MARKED, BROKEN, OPEN_BRACKET, UNENDED, AFTER_SENTENCE, SIGNED, SAME_LINE = 1, 2,
 
 
 def open_brackets(text: str) -> int:
-    """Brackets and quotes still on the stack at the end; a closer without its opener is skipped."""
+    """Brackets, quotes and elements still open at the end; a closer without its opener is skipped.
+
+    Straight quotes and elements cross brackets, so each kind has a stack of its own. A straight quote opens only before a
+    word and not after one, which leaves out inches and ditto marks.
+    """
     stack: list[str] = []
+    elements: Counter = Counter()
+    quoted = False
     for m in _BRACKETS.finditer(text):
         c = m.group()
-        if c in _PAIRS:
+        if c == '"':
+            quoted = not quoted and not text[m.start() - 1 : m.start()].isalnum() and text[m.end() : m.end() + 1].strip() != ""
+        elif m.group(2):
+            name = m.group(2).lower()
+            if name not in _ENDING or c.endswith("/>"):
+                continue
+            if not m.group(1):
+                elements[name] += 1
+            elif elements[name]:
+                elements[name] -= 1
+        elif c in _PAIRS:
             if stack and stack[-1] == _PAIRS[c]:
                 stack.pop()
         else:
             stack.append(c)
-    return len(stack)
+    return len(stack) + elements.total() + quoted
 
 
 def _keys(unit: str) -> list[str]:
@@ -119,7 +138,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     c = counts.setdefault(key, [0, 0])
                     c[0] += 1
                     c[1] += 0 if flags & (MARKED | BROKEN) else 1
-            if open_brackets(body[-4000:] if "\n\n" not in body[-4000:] else body[body.rindex("\n\n") :]):
+            if open_brackets(body):
                 flags |= OPEN_BRACKET
             if units and _ENDED.search(units[-1][-6:]):
                 flags |= AFTER_SENTENCE
@@ -169,7 +188,7 @@ def find_truncated(documents: DataFrame, min_share: float = 0.8, min_count: int
     # what follows a sentence in its line is prose unless its opening hardly ever ends as a sentence
     bar = F.when(has(SAME_LINE), 0.15).when(has(AFTER_SENTENCE), bar).otherwise(0.95)
     cut = F.when((F.col("words") == 0) | has(SIGNED) & ~marked, False).when(has(BROKEN), True).when(marked, F.coalesce(F.col("share"), F.lit(1.0)) >= 0.3).when(
-        has(UNENDED), F.when(F.col("share").isNotNull(), F.col("share") >= F.when(has(OPEN_BRACKET), 0.5).otherwise(bar)).otherwise(has(AFTER_SENTENCE)))
+        has(UNENDED), F.when(F.col("share").isNotNull(), F.col("share") >= F.when(has(OPEN_BRACKET), F.least(F.lit(0.5), bar)).otherwise(bar)).otherwise(has(AFTER_SENTENCE) | has(OPEN_BRACKET)))
     return out.select("doc_id", "source", F.coalesce(cut, F.lit(False)).alias("cut"), "share", "flags")
 
 

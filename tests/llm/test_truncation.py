@@ -31,3 +31,17 @@ def test_cases(spark):
 def test_automaton():
     assert open_brackets("a (b [c] d") == 1 and open_brackets("a ) b") == 0 and open_brackets("“x”") == 0
     assert read_end("text &am")[1] == 2 and read_end("a <di")[1] == 2 and read_end("50% of") == ("50% of", 0)
+
+
+def test_brackets_open_before_the_last_paragraph(spark):
+    closed = "Note (see below)\n\n" + "Zinc plates\n" * 600 + "Zebra quartz"
+    opened = [closed.replace(")", ""), closed.replace("(see below)", '"see below'), closed.replace("(see below)", "<b>see below")]
+    texts = [t.replace("Zebra", word) for t, word in zip([closed, *opened], ("Zebra", "Yarrow", "Xenon", "Walnut"))]
+    rows = [(d, t, s) for d, t, s in corpus()] + [(1000 + i, t, "c") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.cut for r in find_truncated(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert [got[1000 + i] for i in range(4)] == [False, True, True, True]
+
+
+def test_quotes_and_elements():
+    assert open_brackets('say "x') == 1 and open_brackets('("x") "y"') == 0 and open_brackets('a 5" pipe, and 6 "') == 0
+    assert open_brackets("<B>x <p>y") == 1 and open_brackets("<b><i>x</b></i><br> (a <b>c) d</b>") == 0 and open_brackets("a < b > c <name>") == 0
