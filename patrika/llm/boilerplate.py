@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -190,7 +193,24 @@ def body_lines(text: str, page: str) -> list[bool] | None:
     chosen = {id(n) for n in score_tree(title, blocks, nodes)}
     marks = [_inside(b.node, chosen) for b in blocks]
     texts = [squeeze(b.text) for b in blocks]
+    where: dict[str, list[int]] = {}
+    for j, t in enumerate(texts):
+        where.setdefault(t, []).append(j)
+    # all blocks as one text, to look for lines that are part of a block
+    whole = "\n".join(texts)
+    starts = list(accumulate((len(t) + 1 for t in texts), initial=0))
+
+    def equal(key: str, low: int, high: int) -> int | None:
+        places = where.get(key, [])
+        k = bisect_left(places, low)
+        return places[k] if k < len(places) and places[k] < high else None
+
+    def within(key: str, low: int, high: int) -> int | None:
+        place = whole.find(key, starts[low], starts[high])
+        return bisect_right(starts, place) - 1 if place >= 0 else None
+
     out, at, n = [], 0, len(blocks)
+    passed = None
     last = False
     for line in text.split("\n"):
         key = squeeze(html.unescape(line))
@@ -200,14 +220,22 @@ def body_lines(text: str, page: str) -> list[bool] | None:
         if at < n and texts[at] == key:
             last, at = marks[at], at + 1
         else:
-            # blocks without a line, and lines without a block, are passed over
-            k = next((j for j in range(at, min(n, at + 60)) if texts[j] == key), None)
-            if k is None:
-                k = next((j for j in range(max(0, at - 1), min(n, at + 60)) if key in texts[j]), None)
-                if k is not None:
-                    last, at = marks[k], max(at, k)
-            else:
+            # blocks without a line, and lines without a block, are passed over; a near block goes before a far one
+            near = min(n, at + 60)
+            k = equal(key, at, near)
+            if k is None and passed is not None:
+                # a far block may have been the wrong one: its forerunners are still open
+                k = equal(key, passed, at)
+            part = None if k is not None else within(key, max(0, at - 1), near)
+            if k is None and part is None:
+                k = equal(key, near, n)
+                part = None if k is not None else within(key, near, n)
+                if k is not None or part is not None:
+                    passed = at if passed is None else min(passed, at)
+            if k is not None:
                 last, at = marks[k], k + 1
+            elif part is not None:
+                last, at = marks[part], max(at, part)
         out.append(last)
     return out
 
@@ -216,9 +244,9 @@ _DIGITS = re.compile(r"\d+")
 
 
 def line_form(line: str) -> str:
-    """The form that lines of one make share: digits as 9, spaces squeezed, at most 120 characters and the length beyond."""
+    """The form that lines of one make share: digits as 9, spaces squeezed; of more than 120 characters, the first 120, a hash of all and the last."""
     form = _DIGITS.sub("9", _SPACE.sub(" ", line).strip().lower())
-    return form if len(form) <= 120 else f"{form[:120]}…"
+    return form if len(form) <= 120 else f"{form[:120]}…{blake2b(form.encode(errors='surrogatepass'), digest_size=8).hexdigest()}{form[-1]}"
 
 
 _FORMS = {"kind": pa.string(), "raw_item_id": pa.string(), "line_no": pa.int32(), "form": pa.string(), "inside": pa.int64(), "outside": pa.int64()}

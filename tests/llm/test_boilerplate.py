@@ -36,3 +36,20 @@ def test_body_starts_at_the_title(spark, folder):
     for r in pages.collect():
         lines = r.raw_text.split("\n")
         assert "".join(lines[first[r.id] - 1].split()).lower() == "".join(r.title_raw.split()).lower()
+
+
+def test_a_long_menu_without_lines_is_passed_over():
+    menu = '<div class="m0">' + "".join(f'<li><a href="/{i}">Option number {i}</a></li>' for i in range(200)) + "</div>"
+    page, text = PAGE.replace('<div class="b2">', menu + '<div class="b2">'), "A line of no block\n" + TEXT
+    assert [n for n, ok in enumerate(body_lines(text, page), 1) if ok] == [n + 1 for n, ok in enumerate(body_lines(TEXT, PAGE), 1) if ok]
+    # a line whose only block lies far ahead does not take the lines before it along
+    strayed = text.replace("A line of no block", "Follow us")
+    assert body_lines(strayed, page)[5:10] == body_lines(text, page)[5:10]
+
+
+def test_long_lines_keep_their_own_form():
+    from patrika.llm.boilerplate import line_form
+
+    start = "Word " * 40
+    assert line_form(start + "ends here.") != line_form(start + "Menu") and line_form(start + "in 2020.") == line_form(start + " in 1999.")
+    assert line_form(start + "ends here.")[-1] == "." and line_form(start + "Menu")[-1] == "u" and line_form("Short 12") == "short 9"
