@@ -145,11 +145,49 @@ def _same(a: str, b: str) -> float:
     return 0.0
 
 
+def _matched(values: list[list[float]]) -> list[int] | None:
+    """The column of each row in the assignment of greatest sum, by augmenting paths; null if a row needs a value of 0. Columns are no fewer than rows."""
+    n, m, never = len(values), len(values[0]) if values else 0, 1e6
+    cost = [[-v if v > 0 else never for v in row] for row in values]
+    of_row, of_column, taken = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        taken[0], j = i, 0
+        least, back, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while taken[j]:
+            used[j] = True
+            row, nearest, step = taken[j], 0, float("inf")
+            for k in range(1, m + 1):
+                if not used[k]:
+                    d = cost[row - 1][k - 1] - of_row[row] - of_column[k]
+                    if d < least[k]:
+                        least[k], back[k] = d, j
+                    if least[k] < step:
+                        step, nearest = least[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    of_row[taken[k]] += step
+                    of_column[k] -= step
+                else:
+                    least[k] -= step
+            j = nearest
+        while j:
+            taken[j] = taken[back[j]]
+            j = back[j]
+    places = {taken[k] - 1: k - 1 for k in range(1, m + 1) if taken[k]}
+    chosen = [places[i] for i in range(n)]
+    return chosen if all(values[i][j] > 0 for i, j in enumerate(chosen)) else None
+
+
 def _assign(left: list[str], right: list[str]) -> tuple[float, list[str]] | None:
     """(weight, words of `right` left over) of the best assignment of every word of `left`."""
     best, rest = -1.0, right
     if len(right) > 6:
-        return None
+        # too many orders to try each
+        values = [[_same(a, b) for b in right] for a in left]
+        chosen = _matched(values)
+        if chosen is None:
+            return None
+        return sum(values[i][j] for i, j in enumerate(chosen)), [w for j, w in enumerate(right) if j not in chosen]
     for chosen in permutations(range(len(right)), len(left)):
         values = [_same(left[i], right[j]) for i, j in enumerate(chosen)]
         if (not values or min(values) > 0) and sum(values) > best:
@@ -160,6 +198,9 @@ def _assign(left: list[str], right: list[str]) -> tuple[float, list[str]] | None
 def _finish(a: list[str], b: list[str], left: list[str], right: list[str], score: float, optional: set[str]) -> float:
     if len(left) > len(right):
         left, right = right, left
+    if sum(w in SCOPE or w in optional for w in right) < len(right) - len(left):
+        # whatever is assigned, a word that names is left over
+        return 0.0
     got = _assign(left, right)
     if got is None:
         # what has no partner must be free to be left out on its own side
@@ -229,7 +270,9 @@ def keys_of(words: list[str], rarity: list[int]) -> list[str]:
     order = sorted((n, w) for w, n in zip(words, rarity) if len(w) >= 4 and w[0] != "=")
     # a second word only where it tells as much: a kind of body beside a place names too many
     out = [f"w:{w}" for n, w in order[:2] if n <= 20 * order[0][0] + 20]
-    out.append("i:" + "".join(sorted("".join(w[1:] if w[0] == "=" else w[0] for w in words))))
+    for held in (words, [w for w in words if w not in SCOPE]):
+        if held:
+            out.append("i:" + "".join(sorted("".join(w[1:] if w[0] == "=" else w[0] for w in held))))
     return out
 
 

@@ -58,3 +58,28 @@ def test_components_equal_union_find(spark):
     got = {int(r.node): int(r.component) for r in connected_components(spark.createDataFrame([*edges, (None, 3)], "src long, dst long")).collect()}
     assert got == want
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_assignment_of_many_words():
+    from itertools import permutations
+
+    from patrika.llm.names import _matched
+
+    long, short = "Federal Signal Maintenance Council Rural Health Education Board", "Fed. Sig. Maint. Cncl. Rur. Hlth. Educ. Bd."
+    assert align(words_of(long), words_of(short), set()) > 0
+    assert align(words_of(long), words_of(short.replace("Hlth", "Textl")), set()) == 0
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randrange(1, 5)
+        values = [[rng.choice((0.0, 0.6, 0.8, 1.0)) for _ in range(rng.randrange(n, 6))]]
+        values += [[rng.choice((0.0, 0.6, 0.8, 1.0)) for _ in values[0]] for _ in range(n - 1)]
+        whole = [sum(values[i][j] for i, j in enumerate(p)) for p in permutations(range(len(values[0])), n) if all(values[i][j] > 0 for i, j in enumerate(p))]
+        got = _matched(values)
+        assert (got is None) == (not whole) and (got is None or abs(sum(values[i][j] for i, j in enumerate(got)) - max(whole)) < 1e-9 and len(set(got)) == n)
+
+
+def test_initials_with_and_without_scope():
+    from patrika.llm.names import keys_of
+
+    keys = [set(keys_of(words_of(x), [1] * len(words_of(x)))) for x in ("Federal Txa Brd", "Txa Brd")]
+    assert {k for k in keys[0] if k[0] == "i"} & keys[1]
