@@ -223,9 +223,10 @@ def furniture_lines(lines: list[str]) -> set[int]:
     if len(filled) < 2:
         return set()
     widths = sorted(len(lines[i].rstrip()) for i in filled)
-    width = widths[-1]
-    if width > 160:
+    # a few wide lines, such as table rows, do not make the text one without pages
+    if widths[-(-9 * len(widths) // 10) - 1] > 160:
         return set()
+    width = max(w for w in widths if w <= 160)
     out: set[int] = set()
     for k, i in enumerate(filled):
         if _FOOT.match(lines[i]) and not (k and lines[i].strip().isdigit() and lines[filled[k - 1]].rstrip().endswith(":")):

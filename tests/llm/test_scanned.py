@@ -51,3 +51,10 @@ def test_cases(spark, editor):
     assert repair_scans(frame.limit(0), editor).count() == 0
     assert fit_editor(frame.limit(0)).counts == {}
     assert list(_count_words(iter([])))[0].num_rows == 0
+
+
+def test_one_wide_line_leaves_the_furniture():
+    page = ["The fee is non-refundable and must be paid by the applicant.", "It is due before the last date given above, in full."] * 10
+    wide = [*page, "row " * 60, "- 1 -", *page]
+    assert furniture_lines(wide) == {21}
+    assert furniture_lines(["row " * 60, "row " * 70, "- 1 -", *page[:2]]) == set()
