@@ -10,12 +10,14 @@ a word of scope such as "National". Aligned lists are joined to the most frequen
 from __future__ import annotations
 
 import re
-from itertools import permutations
+from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patrika.llm.arrow import with_column
 from patrika.llm.components import connected_components
 from patrika.session import cut_lineage, spread
 
@@ -38,6 +40,10 @@ USUAL = {"elec": "electrical"}
 LONGEST = 40
 
 _TOKEN = re.compile(r"(?:[^\W_]\. ?){2,}(?:[^\W_]\b)?|[^\W_]+(?:[/'’][^\W_]+)*")
+_PLAIN, _JOINS = re.compile(r"[^\W_]+"), re.compile(r"[./'’]")
+_DOTTED = re.compile(r"(?:[^\W_]\. ?){2,}[^\W_]?")
+_MARKS = str.maketrans("", "", "./'’ ")
+_SYNONYM_STARTS = {phrase[0] for _, phrase in SYNONYMS}
 _FOLDS = [("aa", "a"), ("ee", "i"), ("oo", "u"), ("w", "v"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("gh", "g"), ("kh", "k"), ("ph", "f"), ("jh", "j"), ("chh", "ch"), ("sh", "s"), ("z", "j")]
 
 
@@ -52,11 +58,13 @@ def words_of(name: str) -> list[str]:
     """Lower-case words in order; dotted, slashed and apostrophised short forms are one word, acronyms begin with "="."""
     out = []
     mixed = any(c.islower() for c in name)
-    tokens = _TOKEN.findall(name)
+    # most names hold none of the marks that join a token
+    plain = not _JOINS.search(name)
+    tokens = (_PLAIN if plain else _TOKEN).findall(name)
     for token in tokens:
-        word = re.sub(r"[./'’ ]", "", token).lower()
+        word = token.lower() if plain else token.translate(_MARKS).lower()
         short = 2 <= len(word) <= 6 and word.isalpha()
-        if short and (re.fullmatch(r"(?:[^\W_]\. ?){2,}[^\W_]?", token) or token.isupper() and "/" not in token and (mixed or len(tokens) == 1)):
+        if short and ("." in token and _DOTTED.fullmatch(token) or token.isupper() and "/" not in token and (mixed or len(tokens) == 1)):
             out.append("=" + word)
         elif word and word not in STOP:
             out.append(USUAL.get(word, word))
@@ -112,6 +120,8 @@ def abbreviates(short: str, word: str) -> bool:
 def acronym_of(token: str, words: list[str]) -> int:
     """How many of `words`, from the first on, `token` is made of by beginnings of each in turn; 0 if not two or more."""
     token = token.lstrip("=")
+    if not words or token[:1] != words[0][:1]:
+        return 0
     if len(words) > 1 and token == words[0] + words[1]:
         return 2
     if len(token) > 8 or len(words) < 2 or any(w[0] == "=" for w in words[:2]):
@@ -131,6 +141,7 @@ def acronym_of(token: str, words: list[str]) -> int:
     return best if best > 1 else 0
 
 
+@lru_cache(maxsize=1 << 18)
 def _same(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -180,19 +191,20 @@ def _matched(values: list[list[float]]) -> list[int] | None:
 
 def _assign(left: list[str], right: list[str]) -> tuple[float, list[str]] | None:
     """(weight, words of `right` left over) of the best assignment of every word of `left`."""
-    best, rest = -1.0, right
-    if len(right) > 6:
-        # too many orders to try each
-        values = [[_same(a, b) for b in right] for a in left]
-        chosen = _matched(values)
-        if chosen is None:
+    if not left:
+        return 0.0, right
+    if len(left) > len(right):
+        return None
+    values = []
+    for word in left:
+        row = [_same(word, w) for w in right]
+        if max(row) <= 0:
             return None
-        return sum(values[i][j] for i, j in enumerate(chosen)), [w for j, w in enumerate(right) if j not in chosen]
-    for chosen in permutations(range(len(right)), len(left)):
-        values = [_same(left[i], right[j]) for i, j in enumerate(chosen)]
-        if (not values or min(values) > 0) and sum(values) > best:
-            best, rest = sum(values), [w for j, w in enumerate(right) if j not in chosen]
-    return None if best < 0 else (best, rest)
+        values.append(row)
+    chosen = _matched(values)
+    if chosen is None:
+        return None
+    return sum(values[i][j] for i, j in enumerate(chosen)), [w for j, w in enumerate(right) if j not in chosen]
 
 
 def _finish(a: list[str], b: list[str], left: list[str], right: list[str], score: float, optional: set[str]) -> float:
@@ -232,6 +244,7 @@ def align(a: list[str], b: list[str], optional: set[str]) -> float:
     if got := _finish(a, b, left, right, score, optional):
         return got
     # acronyms, and words written as one, take several words of the other side at once
+    taken = False
     for own, other in ((left, right), (right, left)):
         for token in list(own):
             if len(token) < 2 or token in SCOPE or token in other:
@@ -242,8 +255,23 @@ def align(a: list[str], b: list[str], optional: set[str]) -> float:
                     del other[start : start + n]
                     own.remove(token)
                     score += 0.8 * n
+                    taken = True
                     break
-    return _finish(a, b, left, right, score, optional)
+    return _finish(a, b, left, right, score, optional) if taken else 0.0
+
+
+def one_meaning(words: list[str]) -> list[str]:
+    """Words with each phrase of SYNONYMS replaced, once."""
+    out = words
+    if not _SYNONYM_STARTS.isdisjoint(words):
+        out = list(words)
+        for to, phrase in SYNONYMS:
+            k = len(phrase)
+            for i in range(len(out) - k + 1):
+                if tuple(out[i : i + k]) == phrase:
+                    out[i : i + k] = list(to)
+                    break
+    return out
 
 
 def reduce_words(words: list[str], optional: set[str]) -> list[str]:
@@ -255,12 +283,7 @@ def reduce_words(words: list[str], optional: set[str]) -> list[str]:
             if acronym_of(token, rest) == len(rest) == len(token) - 1:
                 out = rest
                 break
-    for to, phrase in SYNONYMS:
-        k = len(phrase)
-        for i in range(len(out) - k + 1):
-            if tuple(out[i : i + k]) == phrase:
-                out[i : i + k] = list(to)
-                break
+    out = one_meaning(out)
     held = [w for w in out if w not in optional]
     return held if len(held) > 1 else out
 
@@ -276,94 +299,145 @@ def keys_of(words: list[str], rarity: list[int]) -> list[str]:
     return out
 
 
-def _joints(sig: str) -> list[tuple[str, str]]:
+def _joints(sig: str) -> list[dict[str, str]]:
     """Every word, and every two neighbours as one, with the initials of the other words."""
     words = sig.split(" ")
     initials = lambda rest: "".join(sorted(w[1:] if w[0] == "=" else w[0] for w in rest))
     out = [(w, initials(words[:i] + words[i + 1 :])) for i, w in enumerate(words) if len(w) >= 8]
-    return out + [(words[i] + words[i + 1], initials(words[:i] + words[i + 2 :])) for i in range(len(words) - 1)]
+    out += [(words[i] + words[i + 1], initials(words[:i] + words[i + 2 :])) for i in range(len(words) - 1)]
+    return [{"joined": joined, "rest": rest} for joined, rest in out]
 
 
 def _blocks(optional: set[str]):
-    def join(block: pd.DataFrame) -> pd.DataFrame:
-        """Each list of a block joined to the first, most frequent list that it aligns with best."""
-        rows = sorted(block.itertuples(index=False), key=lambda r: (-r.n, r.sig))
-        heads: list[tuple[str, list[str]]] = []
-        out = []
-        for row in rows:
-            words = row.sig.split(" ")
-            scored = sorted(((align(words, w, optional), -k) for k, (_, w) in enumerate(heads)), reverse=True)
-            if scored and scored[0][0] > 0 and (len(scored) == 1 or scored[1][0] < scored[0][0] - 1e-9):
-                out.append((row.field_name, row.sig, heads[-scored[0][1]][0]))
-            elif not scored or scored[0][0] <= 0:
-                heads.append((row.sig, words))
-        return pd.DataFrame(out, columns=["field_name", "src", "dst"])
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each list of a block joined to the more frequent list that it aligns with best; rows come by block, the most frequent first.
+
+        Only lists that align with none before them are kept, so a block needs no more memory than it has different names.
+        """
+        block, heads = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for field, key, sig in zip(*(batch.column(c).to_pylist() for c in ("field_name", "key", "sig"))):
+                if (field, key) != block:
+                    block, heads = (field, key), []
+                words = sig.split(" ")
+                best, name = 0.0, None
+                for head, other in heads:
+                    weight = align(words, other, optional)
+                    # of equal weights the more frequent name counts
+                    if weight > best + 1e-9:
+                        best, name = weight, head
+                if name is None:
+                    heads.append((sig, words))
+                else:
+                    out.append((field, sig, name))
+            columns = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["field_name", "src", "dst"])
 
     return join
 
 
+def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each delete of each word that may be misspelt: (field_name, word, n, folded, key)."""
+    names = ["field_name", "word", "n", "folded", "key"]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        for field, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if not 5 <= len(word) <= LONGEST or word[0] == "=":
+                continue
+            folded = fold(word)
+            for key in deletes(folded, 2 if len(folded) >= 10 else 1):
+                for column, value in zip(out, (field, word, n, folded, key)):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=names)
+
+
 def correct_words(names: DataFrame, ratio: float = 6.0) -> DataFrame:
-    """(field_name, word, fixed) for every word of `names` (field_name, words, n), by the symmetric-delete index."""
+    """(field_name, word, fixed) for every word of `names` (field_name, words, n) that is taken for another, by the symmetric-delete index.
+
+    Words of fewer than five letters, of more than LONGEST, and acronyms are never taken for others.
+    """
     words = names.select("field_name", F.explode("words").alias("word"), "n").groupBy("field_name", "word").agg(F.sum("n").alias("n"))
-    folding = F.udf(fold)
-    asked = spread(words.where(F.length("word").between(5, LONGEST) & ~F.col("word").startswith("=")), "word").withColumn("folded", folding("word"))
-    most = F.when(F.length("folded") >= 10, 2).otherwise(1)
-    index = asked.withColumn("key", F.explode(F.udf(lambda w, k: list(deletes(w, k)), "array<string>")("folded", most)))
-    target = lambda frame, key: frame.select("field_name", F.col(key).alias("key"), F.col("word").alias("to"), F.col("folded").alias("to_folded"), F.col("n").alias("to_n"))
+    index = cut_lineage(spread(words, "word").mapInArrow(_deleted, "field_name string, word string, n bigint, folded string, key string"))
+    to = index.select("field_name", "key", F.col("word").alias("to"), F.col("folded").alias("to_folded"), F.col("n").alias("to_n"))
     # words seen once are no target but for words that fold alike
-    near = index.join(target(index.where("n > 1"), "key"), ["field_name", "key"]).where(F.col("to_n") > F.col("n"))
-    alike = asked.withColumn("key", F.col("folded")).join(target(asked, "folded"), ["field_name", "key"]).where((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("word")))
-    pairs = near.select("field_name", "word", "folded", "n", "to", "to_folded", "to_n").unionByName(alike.select("field_name", "word", "folded", "n", "to", "to_folded", "to_n")).where(F.col("word") != F.col("to")).distinct()
+    oftener = (F.col("to_n") > F.col("n")) & (F.col("to_n") > 1)
+    alike = (F.col("folded") == F.col("to_folded")) & ((F.col("to_n") > F.col("n")) | (F.col("to_n") == F.col("n")) & (F.col("to") < F.col("word")))
+    pairs = index.join(to, ["field_name", "key"]).where((F.col("word") != F.col("to")) & (oftener | alike)).drop("key").distinct()
     # a fold alone is no edit; otherwise the other word must be far more frequent, the more so the further it is
-    distance = F.udf(edits, "int")("folded", "to_folded")
-    pairs = pairs.withColumn("d", distance).where(
+    pairs = with_column(pairs, "d", "int", edits, "folded", "to_folded").where(
         (F.col("d") == 0)
         | (F.col("d") == 1) & ((F.col("to_n") >= F.when(F.length("word") > 5, ratio).otherwise(3 * ratio) * F.col("n")) | (F.length("word") >= 7) & (F.col("to_n") >= 2 * F.col("n")))
         | (F.col("d") == 2) & (F.length("folded") >= 8) & (F.col("to_n") >= 5 * ratio * F.col("n"))
     )
-    first = pairs.groupBy("field_name", "word").agg(F.max(F.struct((-F.col("d")).alias("d"), (F.substring("word", 1, 1) == F.substring("to", 1, 1)).alias("first"), F.col("to_n").alias("n"), F.col("to").alias("to")))["to"].alias("fixed"))
-    # what a word is taken for may itself be taken for another: three steps reach the end of such a chain
-    out = first
-    for _ in range(3):
-        step = first.select("field_name", F.col("word").alias("fixed"), F.col("fixed").alias("next"))
-        out = out.join(step, ["field_name", "fixed"], "left").select("field_name", "word", F.coalesce("next", "fixed").alias("fixed"))
-    return words.select("field_name", "word").join(out, ["field_name", "word"], "left").select("field_name", "word", F.coalesce("fixed", "word").alias("fixed"))
+    rank = F.struct((-F.col("d")).alias("d"), (F.substring("word", 1, 1) == F.substring("to", 1, 1)).alias("first"), F.col("to_n").alias("n"), F.col("to").alias("to"))
+    out = cut_lineage(pairs.groupBy("field_name", "word").agg(F.max(rank)["to"].alias("fixed")))
+    # what a word is taken for may itself be taken for another: jumps double until no chain is left
+    while True:
+        step = out.select("field_name", F.col("word").alias("fixed"), F.col("fixed").alias("next"))
+        moved = cut_lineage(out.join(step, ["field_name", "fixed"], "left").select("field_name", "word", F.coalesce("next", "fixed").alias("fixed"), F.col("next").isNotNull().alias("moved")))
+        out = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return out
+
+
+def replace_words(rows: DataFrame, fixes: DataFrame, key: str, share: float = 0.001) -> DataFrame:
+    """`rows` (`key`, field_name, words and more) with each word that `fixes` (field_name, word, fixed) knows replaced by the words of `fixed`.
+
+    `key` tells rows apart. Words that are more than `share` of all words, 1 / `share` of them at most, go by broadcast: no word that many rows hold is
+    one partition of the join.
+    """
+    placed = rows.select(key, "field_name", F.explode("words").alias("word"))
+    counts = cut_lineage(placed.groupBy("field_name", "word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") > share * total).select("field_name", "word")
+    known = cut_lineage(fixes)
+    held = placed.join(F.broadcast(often), ["field_name", "word"], "left_anti").join(known, ["field_name", "word"])
+    hot = placed.join(F.broadcast(known.join(F.broadcast(often), ["field_name", "word"], "left_semi")), ["field_name", "word"])
+    found = held.unionByName(hot).groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "fixed"))).alias("_fixes"))
+    swapped = F.flatten(F.transform("words", lambda w: F.coalesce(F.split(F.col("_fixes")[w], " "), F.array(w))))
+    return rows.join(found, key, "left").withColumn("words", F.when(F.col("_fixes").isNull(), F.col("words")).otherwise(swapped)).select(rows.columns)
 
 
 def name_classes(spellings: DataFrame, states: list[str]) -> DataFrame:
-    """(field_name, name, n, class_id): every different non-blank name with how often it occurs and the class of names it belongs to.
+    """(field_name, name, n, class_id, links): every different non-blank name with how often it occurs, the class of names it belongs to, and how many others are in it.
 
     `spellings` has field_name and name, one row an occurrence. `states` are names that may follow a name (a bounded list).
     Null and blank names are left out. A name without any word that names is a class of its own.
     """
     optional = {w for s in states for w in words_of(s)}
     names = spellings.select(F.col("field_name").cast("string").alias("field_name"), F.col("name").cast("string").alias("name")).where("trim(name) != ''").groupBy("field_name", "name").agg(F.count(F.lit(1)).alias("n"))
-    names = names.withColumn("words", F.udf(words_of, "array<string>")("name"))
-    names = cut_lineage(names)
-    fixes = correct_words(names)
-    placed = names.select("field_name", "name", "n", F.posexplode("words").alias("pos", "word")).join(fixes, ["field_name", "word"])
-    corrected = placed.groupBy("field_name", "name", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "fixed"))), lambda s: s["fixed"]).alias("words"))
-    lists = cut_lineage(corrected.withColumn("words", F.udf(lambda w: reduce_words(w, optional), "array<string>")("words")).withColumn("sig", F.array_join(F.array_sort("words"), " ")))
+    names = cut_lineage(with_column(names, "words", "array<string>", words_of, "name").withColumn("id", F.monotonically_increasing_id()))
+    corrected = replace_words(names.where(F.size("words") > 0), correct_words(names), "id")
+    lists = with_column(corrected.withColumnRenamed("words", "given"), "words", "array<string>", lambda w: reduce_words(w, optional), "given").select("field_name", "name", "n", "words")
+    lists = cut_lineage(lists.withColumn("sig", F.array_join(F.array_sort("words"), " ")))
     # one order of the words stands for all, the most frequent: acronyms need it
     sigs = lists.groupBy("field_name", "sig", "words").agg(F.sum("n").alias("n")).groupBy("field_name", F.col("sig").alias("sorted")).agg(F.sum("n").alias("n"), F.max(F.struct("n", F.array_join("words", " ").alias("sig")))["sig"].alias("sig"))
     sigs = cut_lineage(sigs)
     each = sigs.select("field_name", "sig", F.explode(F.split("sig", " ")).alias("word")).distinct()
     rarity = each.groupBy("field_name", "word").agg(F.count(F.lit(1)).alias("held"))
     with_rarity = each.join(rarity, ["field_name", "word"]).groupBy("field_name", "sig").agg(F.map_from_entries(F.collect_list(F.struct("word", "held"))).alias("held"))
-    keyed = sigs.join(with_rarity, ["field_name", "sig"]).withColumn(
-        "key", F.explode(F.udf(lambda sig, held: list(dict.fromkeys(keys_of(sig.split(" "), [held[w] for w in sig.split(" ")]))), "array<string>")("sig", "held")))
+    keys = lambda sig, held: list(dict.fromkeys(keys_of(sig.split(" "), [dict(held)[w] for w in sig.split(" ")])))
+    keyed = with_column(sigs.join(with_rarity, ["field_name", "sig"]), "keys", "array<string>", keys, "sig", "held").withColumn("key", F.explode("keys"))
     # two words written as one elsewhere: both forms meet under the joined word and the initials of the others
     single = each.where(F.length("word") >= 6).select("field_name", F.col("word").alias("joined"))
-    apart = sigs.select("field_name", "sig", "n", F.explode(F.udf(_joints, "array<struct<joined:string,rest:string>>")("sig")).alias("j")).select("field_name", "sig", "n", "j.joined", "j.rest")
+    apart = with_column(sigs.select("field_name", "sig", "n"), "joints", "array<struct<joined:string,rest:string>>", _joints, "sig").withColumn("j", F.explode("joints")).select("field_name", "sig", "n", "j.joined", "j.rest")
     apart = apart.join(single.distinct(), ["field_name", "joined"], "left_semi")
     keyed = keyed.select("field_name", "key", "sig", "n").unionByName(apart.select("field_name", F.concat_ws("|", F.lit("j:"), "joined", "rest").alias("key"), "sig", "n"))
-    edges = spread(keyed, "field_name", "key").groupBy("field_name", "key").applyInPandas(_blocks(optional), "field_name string, src string, dst string").distinct()
+    blocks = spread(keyed, "field_name", "key").sortWithinPartitions("field_name", "key", F.desc("n"), "sig")
+    edges = blocks.mapInArrow(_blocks(optional), "field_name string, src string, dst string").distinct()
     tag = lambda c: F.concat_ws("\x01", "field_name", c)
     classes = connected_components(edges.select(tag("src").alias("src"), tag("dst").alias("dst")))
     named = lists.join(sigs.select("field_name", F.col("sorted").alias("sig"), F.col("sig").alias("head")), ["field_name", "sig"]).withColumn("node", tag("head"))
     known = named.join(classes, "node", "left").select("field_name", "name", "n", F.coalesce("component", "node").alias("class_id"))
     bare = names.where(F.size("words") == 0).select("field_name", "name", "n", F.concat_ws("\x01", "field_name", F.lit("="), "name").alias("class_id"))
-    return known.unionByName(bare)
+    return with_links(known.unionByName(bare))
+
+
+def with_links(classes: DataFrame) -> DataFrame:
+    """`classes` with the number of other rows of the same class."""
+    sizes = classes.groupBy("class_id").agg((F.count(F.lit(1)) - 1).alias("links"))
+    return classes.join(sizes, "class_id").select(*classes.columns, "links")
 
 
 def name_pairs(classes: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def _name_classes(spark: SparkSession, folder: str) -> DataFrame:
     jobs = read_table(spark, folder, "jobs")
-    states = [r[0] for r in jobs.select("state").where("state is not null").distinct().limit(1000).collect()]
+    states = [r[0] for r in jobs.select("state").where("state is not null").distinct().collect()]
     field = lambda c: jobs.select(F.lit(c).alias("field_name"), F.col(c).alias("name"))
     return names.name_classes(field("organization").unionByName(field("post_name")), states)
 
@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Every spelling with its occurrences and its class."""
+    """Every spelling with its occurrences, its class and the number of its links."""
     return _name_classes(spark, folder)
 
 
@@ -60,8 +60,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Every title with its class."""
-    return titles.notice_classes(_titles(spark, folder))
+    """Every row of both tables that has a title, with its class and the number of its links."""
+    rows = _titles(spark, folder)
+    return titles.notice_members(rows, titles.notice_classes(rows))
 
 
 def _scans(spark: SparkSession, folder: str) -> DataFrame:

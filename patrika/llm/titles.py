@@ -12,9 +12,9 @@ sides, so that no pair within the radius is lost. The pairs found are checked by
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patrika.llm.arrow import with_column
 from patrika.llm.components import connected_components
-from patrika.llm.names import SCOPE, SYNONYMS, abbreviates, align, correct_words, edits, words_of
+from patrika.llm.names import SCOPE, abbreviates, align, correct_words, edits, one_meaning, replace_words, with_links, words_of
 from patrika.session import cut_lineage, spread
 
 # Stages of a notice and the words that say so.
@@ -42,6 +43,7 @@ PLAIN = {
 _YEAR = re.compile(r"\b(20\d\d)\b")
 _NUMBER = re.compile(r"\b(?:advt|advertisement|notification|notice|no)[a-z]*\W{0,3}(?:no\W{0,3})?(\d{1,4})\s*(?:/|-|of|\s)\s*((?:20)?\d\d)\b", re.I)
 _COUNT = re.compile(r"\b\d[\d,]*\s+(?:posts?|vacanc[a-z]*)\b|\b(?:posts?|vacanc[a-z]*)\s*[:\-]\s*\d+", re.I)
+_DECORATIONS = ("latest", "new", "pdf", "apply online", "direct link", "official notice", "check details", "notification out")
 _DECORATION = re.compile(r"^\W*(?:latest|new|pdf|apply online|direct link|official notice|check details|notification out)\b[\s:|\-]+|[\s:|\-(]+(?:pdf|apply online|direct link|official notice|check details|notification out|new|latest)\W*$", re.I)
 
 
@@ -49,17 +51,20 @@ def read_title(title: str) -> tuple[str, str, str, list[str]]:
     """(year, stage or "", advertisement number or "", words in order)."""
     text = re.sub(r"\s+", " ", title).strip()
     number = ""
-    m = _NUMBER.search(text)
-    if m:
+    digits = any(c.isdigit() for c in text)
+    if digits and (m := _NUMBER.search(text)):
         number = f"{int(m.group(1))}"
         year = m.group(2)
         text = text[: m.start()] + " " + text[m.end() :]
         stated = year if len(year) == 4 else f"20{year}"
     else:
         stated = ""
-    text = _COUNT.sub(" ", text)
-    for _ in range(2):
-        text = _DECORATION.sub(" ", text)
+    if digits:
+        text = _COUNT.sub(" ", text)
+    lower = text.lower()
+    if any(word in lower for word in _DECORATIONS):
+        for _ in range(2):
+            text = _DECORATION.sub(" ", text)
     years = _YEAR.findall(text)
     year = years[-1] if years else stated
     text = _YEAR.sub(" ", text)
@@ -86,13 +91,18 @@ def mend(word: str) -> str:
     """A word a small edit from one of the fixed words, as that word."""
     if word in STAGES or word in PLAIN or len(word) < 5:
         return word
-    for known in _LONG:
-        if known[0] == word[0] and abs(len(known) - len(word)) <= 2 and edits(word, known) <= (1 if len(known) < 8 else 2):
+    letters = set(word)
+    for known, own, most in _LONG.get(word[0], ()):
+        # an edit changes two letters of the set at most
+        if abs(len(known) - len(word)) <= most and len(own ^ letters) <= 2 * most and edits(word, known) <= most:
             return known
     return word
 
 
-_LONG = sorted(w for w in {*STAGES, *PLAIN} if len(w) >= 6)
+#: The long ones of the fixed words by their first letter, each with its letters and the edits that are forgiven.
+_LONG: dict[str, list[tuple[str, set[str], int]]] = {}
+for _word in sorted(w for w in {*STAGES, *PLAIN} if len(w) >= 6):
+    _LONG.setdefault(_word[0], []).append((_word, set(_word), 1 if len(_word) < 8 else 2))
 
 
 def fingerprint(words: list[str], common: set[str]) -> tuple[int, int]:
@@ -181,7 +191,7 @@ class VantageTree:
 
 
 def plan_shards(sample: list[tuple[int, int]], depth: int, seed: int = 5) -> list[tuple[int, int, int]]:
-    """Vantage points and medians of the upper levels of a tree, heap order: (high, low, middle)."""
+    """Vantage points and medians of the upper levels of a tree, heap order: (high, low, middle), halves unsigned."""
     rng = random.Random(seed)
     points = [(h & (2**64 - 1)) << 64 | (low & (2**64 - 1)) for h, low in sample]
     levels: list[tuple[int, int, int]] = [(0, 0, 64)] * (2**depth - 1)
@@ -218,24 +228,63 @@ def shards_of(point: int, levels: list[tuple[int, int, int]], radius: int) -> li
     return out
 
 
+_LINK = ["field_name", "year", "stage", "number", "src", "dst"]
+
+
 def _links(radius: int):
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of one group whose fingerprints are within the radius and whose words align."""
-        rows = list(group[["sig", "high", "low", "n"]].sort_values(["n", "sig"], ascending=[False, True]).itertuples(index=False))
-        points = np.array([[r.high, r.low] for r in rows], dtype=np.int64).view(np.uint64).reshape(-1, 2)
-        tree = VantageTree(points)
-        words = [r.sig.split(" ") for r in rows]
-        out = []
+    # whether two lists align depends on the words they do not share, on how many they share (none, one, more) and on a shared word of scope
+    known: dict[tuple, bool] = {}
+
+    def pairs(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, str]]:
+        tree = VantageTree(np.array([r[1:] for r in rows], dtype=np.int64).view(np.uint64).reshape(-1, 2))
+        sets = [frozenset(r[0].split(" ")) for r in rows]
+        scope = [s & SCOPE for s in sets]
         for left, right in tree.pairs(radius):
             for i, j in zip(left.tolist(), right.tolist()):
-                if align(words[i], words[j], set()) > 0:
-                    out.append((rows[i].sig, rows[j].sig))
-        key = group.iloc[0]
-        return pd.DataFrame([(key.field_name, key.year, key.stage, key.number, a, b) for a, b in out], columns=["field_name", "year", "stage", "number", "src", "dst"])
+                a, b = sets[i], sets[j]
+                case = (a - b, b - a, min(len(a & b), 2), bool(scope[i] & scope[j]))
+                same = known.get(case)
+                if same is None:
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    same = known[case] = align(rows[i][0].split(" "), rows[j][0].split(" "), set()) > 0
+                if same:
+                    yield rows[i][0], rows[j][0]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of each group whose fingerprints are within the radius and whose words align; rows come by group."""
+        group, rows = None, []
+        out: list[tuple] = []
+        for batch in batches:
+            for *key, sig, high, low in zip(*(batch.column(c).to_pylist() for c in ("field_name", "year", "stage", "number", "shard", "sig", "high", "low"))):
+                if key != group:
+                    if len(rows) > 1:
+                        out += [(*group[:4], a, b) for a, b in pairs(rows)]
+                    group, rows = key, []
+                rows.append((sig, high, low))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=_LINK)
+                out = []
+        if len(rows) > 1 and (out := [(*group[:4], a, b) for a, b in pairs(rows)]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=_LINK)
 
     return link
 
 
+def _plan(sample_rows: int):
+    def plan(group: pd.DataFrame) -> pd.DataFrame:
+        """The upper levels of one group's own tree, from its sample."""
+        key = group.iloc[0]
+        levels = plan_shards(list(zip(group.high.tolist(), group.low.tolist()))[: 4 * sample_rows], int(key.depth))
+        return pd.DataFrame([(key.field_name, key.year, key.stage, key.number, [x for level in levels for x in (_signed(level[0]), _signed(level[1]), level[2])])], columns=["field_name", "year", "stage", "number", "levels"])
+
+    return plan
+
+
+def _signed(half: int) -> int:
+    return half - 2**64 if half >= 2**63 else half
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict[str, str] = {}
     for batch in batches:
@@ -257,11 +306,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["field_name", "title", "n", "year", "stage", "number", "words"])
 
 
-def _phrases(most: int):
-    """Runs of two to `most` words with their initials, counted."""
+#: Marks of acronyms, so that tasks leave out runs that are none: 65,536 at most, however many acronyms there are.
+_ACRONYM_MARKS = 1 << 16
+
+
+def _phrases(most: int, marks: set[int]):
+    """Runs of two to `most` words whose initials may be an acronym, counted; no acronym has more letters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        wanted: dict[str, bool] = {}
 
         def flush() -> pa.RecordBatch:
             keys = list(seen)
@@ -271,11 +325,19 @@ def _phrases(most: int):
 
         for batch in batches:
             for words in batch.column(0).to_pylist():
-                for size in range(2, most + 1):
-                    for i in range(len(words) - size + 1):
-                        run = tuple(words[i : i + size])
-                        if not any(len(w) < 3 or w[0] == "=" for w in run):
-                            seen[run] += 1
+                initials = "".join(w[0] for w in words)
+                for i in range(len(words) - 1):
+                    for size in range(2, min(most, len(words) - i) + 1):
+                        name = initials[i : i + size]
+                        wants = wanted.get(name)
+                        if wants is None:
+                            wants = wanted[name] = zlib.crc32(name.encode()) % _ACRONYM_MARKS in marks
+                        if wants:
+                            run = tuple(words[i : i + size])
+                            if not any(len(w) < 3 or w[0] == "=" for w in run):
+                                seen[run] += 1
+            if len(wanted) > 400_000:
+                wanted.clear()
             if len(seen) > 400_000:
                 yield flush()
         if seen:
@@ -284,100 +346,101 @@ def _phrases(most: int):
     return count
 
 
+def _expanded(full: list[tuple[str, int]]):
+    """Each short word with the word it is a short form of: (word, fixed)."""
+    by_letter: dict[str, list[tuple[str, int]]] = {}
+    for word, n in full:
+        by_letter.setdefault(word[0], []).append((word, n))
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[str]] = [[], []]
+            for short in batch.column(0).to_pylist():
+                fits = [(word.startswith(short), n, word) for word, n in by_letter.get(short[0], ()) if len(word) > len(short) and abbreviates(short, word)]
+                if fits:
+                    out[0].append(short)
+                    out[1].append(max(fits)[2])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["word", "fixed"])
+
+    return expand
+
+
 def short_forms(words: DataFrame, often: int) -> DataFrame:
     """(word, fixed) for words that are short forms of a word found in `often` titles or more, or acronyms of a run of words."""
     counts = cut_lineage(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    capitals = counts.where(F.col("word").startswith("=")).select(F.substring("word", 2, 10).alias("initials"), F.col("n").alias("capital_n"))
+    capitals = counts.where(F.col("word").startswith("=")).select(F.expr("substring(word, 2)").alias("initials"), F.col("n").alias("capital_n"))
     # in a title all in capitals any short word looks like an acronym, in one without them none does
     capitals = capitals.join(counts.select(F.col("word").alias("initials"), F.col("n").alias("plain_n")), "initials", "left").withColumn("plain_n", F.coalesce("plain_n", F.lit(0)))
+    capitals = cut_lineage(capitals)
     acronyms = capitals.where("capital_n >= plain_n").select("initials")
     words_only = capitals.where("capital_n < plain_n").select(F.concat(F.lit("="), "initials").alias("word"), F.col("initials").alias("fixed"))
-    phrases = words.select("words").mapInArrow(_phrases(5), "initials string, phrase string, n bigint")
+    marks = {r[0] for r in acronyms.select((F.crc32("initials") % _ACRONYM_MARKS).alias("mark")).distinct().collect()}
+    # words_of makes acronyms of at most six letters
+    phrases = words.select("words").mapInArrow(_phrases(6, marks), "initials string, phrase string, n bigint")
     best = phrases.join(acronyms, "initials", "left_semi").groupBy("initials", "phrase").agg(F.sum("n").alias("n")).groupBy("initials").agg(F.max(F.struct("n", "phrase"))["phrase"].alias("fixed"))
-    best = cut_lineage(best)
-    expanded = best.select(F.explode(F.array(F.concat(F.lit("="), "initials"), "initials")).alias("word"), "fixed").unionByName(words_only)
-    # full words by their first letter; a letter has few words that so many titles hold
-    full = counts.where((F.col("n") >= often) & (F.length("word") >= 5) & ~F.col("word").startswith("=")).select(F.col("word").alias("fixed"), F.col("n").alias("full_n"), F.substring("word", 1, 1).alias("first"))
-    short = counts.where((F.length("word") <= 7) & (F.col("n") < often) & ~F.col("word").startswith("=")).select("word", "n", F.substring("word", 1, 1).alias("first"))
-    short = short.join(full.select(F.col("fixed").alias("word")), "word", "left_anti").join(expanded.select("word"), "word", "left_anti")
-    fits = F.udf(abbreviates, "boolean")
-    ranked = short.join(full, "first").where((F.length("word") >= 2) & (F.length("fixed") > F.length("word")) & fits("word", "fixed"))
-    chosen = ranked.groupBy("word").agg(F.max(F.struct(F.expr("startswith(fixed, word)").alias("begins"), "full_n", "fixed"))["fixed"].alias("fixed"))
-    return expanded.unionByName(chosen)
-
-
-def notice_classes(titles: DataFrame, radius: int = 4, shard_rows: int = 4000, sample_rows: int = 4000) -> DataFrame:
+    expanded = cut_lineage(best.select(F.explode(F.array(F.concat(F.lit("="), "initials"), "initials")).alias("word"), "fixed").unionByName(words_only))
+    # a word in a thousandth of the titles: there are at most a thousand times the words of a title of them
+    full = [(r.word, r.n) for r in counts.where((F.col("n") >= often) & (F.length("word") >= 5) & ~F.col("word").startswith("=")).collect()]
+    short = counts.where((F.length("word") >= 2) & (F.col("n") < often) & ~F.col("word").startswith("=")).select("word")
+    short = short.join(expanded.select("word"), "word", "left_anti")
+    return cut_lineage(expanded.unionByName(spread(short, "word").mapInArrow(_expanded(full), "word string, fixed string")))
+
+
+def notice_classes(titles: DataFrame, radius: int = 6, shard_rows: int = 4000, sample_rows: int = 4000) -> DataFrame:
     """(field_name, title, class_id) of every different title of `titles` (field_name, title, one row an occurrence).
 
     Titles with equal class_id announce the same notice. Null and blank titles are left out. A title without words is a class of
     its own text. The shards' vantage points come from `sample_rows` fingerprints; every fingerprint is indexed.
     """
-    spark = titles.sparkSession
     once = titles.select(F.col("field_name").cast("string").alias("field_name"), F.col("title").cast("string").alias("title")).where("trim(title) != ''").groupBy("field_name", "title").agg(F.count(F.lit(1)).alias("n"))
-    read = cut_lineage(once.mapInArrow(_read, "field_name string, title string, n bigint, year string, stage string, number string, words array<string>"))
+    read = once.mapInArrow(_read, "field_name string, title string, n bigint, year string, stage string, number string, words array<string>")
+    read = cut_lineage(read.withColumn("id", F.monotonically_increasing_id()))
     total = read.count()
-    fixes = correct_words(read.select(F.lit("").alias("field_name"), "words", "n")).where("word != fixed").select("word", "fixed")
-    fixed = cut_lineage(_replaced(read, fixes))
-    often = max(20, total // 1000)
-    spelled = cut_lineage(_replaced(fixed, short_forms(fixed, often)))
+    anywhere = lambda frame: frame.withColumn("field_name", F.lit(""))  # noqa: E731 - words mean the same in both fields
+    fixed = _respelled(read, correct_words(anywhere(read)))
+    spelled = _respelled(fixed, anywhere(short_forms(fixed, max(20, total // 1000))))
     held = spelled.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where(F.col("count") >= max(2, total // 50))
     common = {r.word for r in held.collect()}  # at most 50 times the words of a title
     key = ["field_name", "year", "stage", "number"]
     # words of scope stay in the signature, the synonyms of names are one
-    sigs = spelled.select(*key, "title", "n", F.udf(_signature, "string")("words").alias("sig"))
+    sigs = cut_lineage(with_column(spelled, "sig", "string", _signature, "words").select(*key, "title", "n", "sig"))
     distinct = sigs.groupBy(*key, "sig").agg(F.sum("n").alias("n"))
-    printed = distinct.where("sig != ''").withColumn("f", F.udf(lambda s: fingerprint(s.split(" "), common), "struct<high:bigint,low:bigint>")("sig")).select(*key, "sig", "n", "f.high", "f.low")
-    printed = cut_lineage(printed)
-    sizes = printed.groupBy(*key).count().where(F.col("count") > shard_rows)
-    most = sizes.agg(F.max("count")).first()[0] or 0
-    depth = math.ceil(math.log2(most / shard_rows)) + 1 if most else 0
-    if depth:
-        sample = [(r.high, r.low) for r in printed.join(sizes, key, "left_semi").select("high", "low").orderBy(F.xxhash64("high", "low")).limit(sample_rows).collect()]
-        levels = plan_shards(sample, depth)
-        route = F.udf(lambda h, low: shards_of((h & (2**64 - 1)) << 64 | (low & (2**64 - 1)), levels, radius), "array<int>")
-        large = printed.join(sizes.select(*key), key, "left_semi").withColumn("shard", F.explode(route("high", "low")))
-        small = printed.join(sizes.select(*key), key, "left_anti").withColumn("shard", F.lit(-1))
-        routed = large.unionByName(small)
-    else:
-        routed = printed.withColumn("shard", F.lit(-1))
-    links = spread(routed, *key, "shard").groupBy(*key, "shard").applyInPandas(_links(radius), "field_name string, year string, stage string, number string, src string, dst string")
+    print_of = lambda sig: dict(zip(("high", "low"), fingerprint(sig.split(" "), common)))
+    printed = cut_lineage(with_column(distinct.where("sig != ''"), "f", "struct<high:bigint,low:bigint>", print_of, "sig").select(*key, "sig", "n", "f.high", "f.low"))
+    # at most a 4000th of the titles
+    sizes = cut_lineage(printed.groupBy(*key).count().where(F.col("count") > shard_rows).withColumn("depth", F.ceil(F.log2(F.col("count") / shard_rows)).cast("int") + 1))
+    routed = printed.withColumn("shard", F.lit(-1))
+    if not sizes.isEmpty():
+        large = printed.join(F.broadcast(sizes), key)
+        sample = large.where(F.pmod(F.xxhash64("high", "low"), F.lit(1_000_000)) < F.lit(1_000_000 * sample_rows) / F.col("count"))
+        # a plan has twice as many nodes as its group has shards
+        plans = cut_lineage(sample.groupBy(*key).applyInPandas(_plan(sample_rows), "field_name string, year string, stage string, number string, levels array<bigint>"))
+        route = lambda high, low, levels: shards_of((high & (2**64 - 1)) << 64 | (low & (2**64 - 1)), [(levels[k] & (2**64 - 1), levels[k + 1] & (2**64 - 1), levels[k + 2]) for k in range(0, len(levels), 3)], radius)
+        planned = large.drop("count", "depth").join(F.broadcast(plans), key)
+        cut = with_column(planned, "shards", "array<int>", route, "high", "low", "levels").withColumn("shard", F.explode("shards"))
+        routed = cut.select(routed.columns).unionByName(routed.join(F.broadcast(sizes.select(*key)), key, "left_anti").select(routed.columns))
+    grouped = spread(routed, *key, "shard").sortWithinPartitions(*key, "shard", F.desc("n"), "sig")
+    links = grouped.mapInArrow(_links(radius), "field_name string, year string, stage string, number string, src string, dst string")
     tag = lambda c: F.concat_ws("\x01", *key, c)
     classes = connected_components(links.select(tag("src").alias("src"), tag("dst").alias("dst")))
     named = sigs.withColumn("node", F.when(F.col("sig") == "", F.concat_ws("\x01", "field_name", F.lit("="), "title")).otherwise(tag("sig")))
     return named.join(classes, "node", "left").select("field_name", "title", F.coalesce("component", "node").alias("class_id"))
 
 
+def _respelled(rows: DataFrame, fixes: DataFrame) -> DataFrame:
+    swapped = replace_words(rows.withColumnRenamed("field_name", "_field").withColumn("field_name", F.lit("")), fixes, "id")
+    return cut_lineage(swapped.drop("field_name").withColumnRenamed("_field", "field_name").select(rows.columns))
+
+
 def _signature(words: list[str]) -> str:
     """The words sorted, phrases of one meaning brought to one."""
-    out = list(words)
-    for to, phrase in SYNONYMS:
-        k = len(phrase)
-        for i in range(len(out) - k + 1):
-            if tuple(out[i : i + k]) == phrase:
-                out[i : i + k] = list(to)
-                break
-    return " ".join(sorted(w for w in dict.fromkeys(out)))
-
-
-def _replaced(rows: DataFrame, fixes: DataFrame) -> DataFrame:
-    """`rows` with each word of `words` that `fixes` (word, fixed) knows replaced by its words."""
-    count = fixes.count()
-    if count <= 200_000:
-        # at most 200,000 words, some 10 MB
-        table = rows.sparkSession.sparkContext.broadcast({r.word: r.fixed.split(" ") for r in fixes.collect()})
-
-        def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = table.value
-            for batch in batches:
-                at = batch.schema.get_field_index("words")
-                words = [[x for w in ws for x in known.get(w, (w,))] for ws in batch.column(at).to_pylist()]
-                yield batch.set_column(at, "words", pa.array(words, pa.list_(pa.string())))
-
-        return rows.mapInArrow(swap, rows.schema)
-    others = [c for c in rows.columns if c != "words"]
-    placed = rows.select(*others, F.posexplode_outer("words").alias("pos", "word")).join(fixes, "word", "left")
-    lists = placed.groupBy(*others).agg(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("fixed", "word").alias("w"))))).alias("w"))
-    return lists.withColumn("words", F.split(F.array_join(F.transform("w", lambda s: s["w"]), " "), " ")).withColumn("words", F.filter("words", lambda w: w != "")).select(rows.columns)
+    return " ".join(sorted(set(one_meaning(words))))
+
+
+def notice_members(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(field_name, id, class_id, links) of every id of `rows` (field_name, id, title) with a title: its class, and how many other ids are in it."""
+    placed = rows.select("field_name", F.col("id").cast("string").alias("id"), "title").where("id is not null").join(classes, ["field_name", "title"])
+    return with_links(placed.select("field_name", "id", "class_id").distinct())
 
 
 def notice_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
