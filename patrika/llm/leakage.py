@@ -1,27 +1,33 @@
 """Evaluation texts inside training documents, by a positional inverted index.
 
-The index is sharded by document: every task keeps the positional postings of the test terms in its
-own documents, so no posting is shuffled. Test terms get their document frequency from one pass over all
-documents. Each item then asks for its rarest terms first: the smallest set of positions, taken by rising
-frequency, that puts a given number of them into every window of the least passage. A passage that keeps its share of
-the weight can lose few of these, as they weigh most, so the others must meet: their postings, moved back by the
-term's offset in the item, are intersected, and `needed` lists that meet within `slack` words are a candidate. Candidates
-are read word by word: the best passage is the run of matched words in their order that allows altered,
-missing and added words, weighted by rarity, so that a question of like shape with other names and figures fails.
+build_index stores the postings of training tokens: for each shard of documents and each term, every document and position at
+which the term stands. The index is sharded by document, so no posting is shuffled and a term in every document is no hot key;
+it is kept in the shared folder and answers any set of items over its terms without reading the documents again.
+
+search_index goes through the shards. Each item asks for its rarest terms first: the smallest set of positions, taken by rising
+document frequency, that puts a given number of them into every window of the least passage. Their lists, moved back by the
+term's offset in the item, are intersected: a passage that keeps its share of the weight can lose few of these, as they
+weigh most, so `needed` of them must meet within `slack` words. Where they meet, the passage is read from the lists of all the item's
+words: the best run of matched words in their order that allows altered, missing and added words, weighted by rarity, so
+that a question of like shape with other names and figures fails. A run without any of these is an exact phrase,
+another a proximity match.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patrika.session import cut_lineage
+
 WORD = re.compile(r"[^\W_]+")
 
 #: A block of queries is sent to all executors; more items than this go in several blocks.
@@ -69,120 +75,180 @@ def could_hold(item: list[str], held: set[str], weight: list[float], window: int
     return False
 
 
-def best_passage(item: list[str], doc: list[str], offset: int, weight: list[float], slack: int, penalty: float = 2.0) -> tuple[int, float]:
-    """(words of the item that the best passage near `offset` spans, share of their weight that is matched)."""
-    nd, d, last = len(doc), offset, len(item) - 1
-    run, start, matched, total = 0.0, 0, 0.0, 0.0
-    best, span, share = 0.0, 0, 0.0
+def locate_passage(item: list[str], doc: dict[int, str], offset: int, weight: list[float], slack: int, penalty: float = 2.0) -> tuple[int, float, int, bool]:
+    """The best passage near `offset`: (words of the item that it spans, share of their weight that is matched, where it begins, whether it is an exact phrase).
+
+    `doc` gives the word at a position; positions of words that the item does not have may be left out.
+    """
+    d, last = offset, len(item) - 1
+    run, start, began, matched, total, exact = 0.0, 0, offset, 0.0, 0.0, True
+    best = (0, 0.0, offset, False)
+    top = 0.0
     for i, word in enumerate(item):
-        p = i + d
-        hit = 0 <= p < nd and doc[p] == word
+        hit = doc.get(i + d) == word
         if not hit and i < last:
             after = item[i + 1]
             for s in range(1, slack + 1):
-                for q in (p + s, p - s):
-                    if 0 <= q < nd - 1 and doc[q] == word and doc[q + 1] == after:
-                        hit, d = True, q - i
+                for q in (i + d + s, i + d - s):
+                    if doc.get(q) == word and doc.get(q + 1) == after:
+                        hit, d, exact = True, q - i, False
                         break
                 if hit:
                     break
         if run <= 0:
-            run, start, matched, total = 0.0, i, 0.0, 0.0
+            run, start, began, matched, total, exact = 0.0, i, i + d, 0.0, 0.0, True
         total += weight[i]
         if hit:
             run += 1
             matched += weight[i]
-            if run > best:
-                best, span, share = run, i - start + 1, matched / total if total else 1.0
+            if run > top:
+                top, best = run, (i - start + 1, matched / total if total else 1.0, began, exact)
         else:
             run -= penalty
-    return span, share
+            exact = False
+    return best
 
 
-def _frequencies(vocabulary: set[str]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        documents = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                documents += 1
-                if text:
-                    seen.update(vocabulary.intersection(WORD.findall(text.lower())))
-        seen[""] = documents
-        yield pa.RecordBatch.from_pydict({"term": list(seen.keys()), "n": list(seen.values())})
+def best_passage(item: list[str], doc: list[str], offset: int, weight: list[float], slack: int) -> tuple[int, float]:
+    """(words of the item that the best passage near `offset` spans, share of their weight that is matched)."""
+    return locate_passage(item, dict(enumerate(doc)), offset, weight, slack)[:2]
+
 
-    return count
+# ---------------------------------------------------------------- the index
+
+_INDEX = "shard bigint, term string, documents bigint, postings binary"
+#: A posting is document << 32 | position + _SHIFT; the shift leaves room for an item's offset to be taken off.
+_SHIFT = 1 << 24
+
+
+def build_index(documents: DataFrame, terms: set[str] | None = None) -> DataFrame:
+    """(shard, term, documents, postings): the positional postings of `documents` (doc_id, text), for `terms` or for every term.
+
+    A shard is a batch of documents; its row with the empty term holds their ids, the other rows the documents of the shard that have
+    the term and all its postings, as 64-bit integers in order. The rows of a shard follow one another. Null ids and texts are left out.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(terms)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids, held = [], {}
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = (len(ids) << 32) + _SHIFT
+                ids.append(doc)
+                for p, word in enumerate(WORD.findall(text.lower()), at):
+                    if wanted is None or word in wanted:
+                        if word in held:
+                            held[word].append(p)
+                        else:
+                            held[word] = [p]
+            if not ids:
+                continue
+            lists = [np.array(x, dtype=np.int64) for x in held.values()]
+            rows = [np.array(ids, dtype=np.int64).tobytes(), *(x.tobytes() for x in lists)]
+            counts = [len(ids), *(int(np.count_nonzero(np.diff(x >> 32))) + 1 for x in lists)]
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number] * len(rows), pa.int64()), pa.array(["", *held], pa.string()), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], names=["shard", "term", "documents", "postings"])
+            number += 1
+
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text != ''")
+    return cut_lineage(rows.mapInArrow(index, _INDEX))
 
 
 def _search(items: list[tuple[int, list[str]]], frequency: dict[str, int], least: float, share: float, slack: int):
     documents = max(1, frequency.get("", 1))
-    postings: dict[str, list[tuple[int, int]]] = {}
-    weights, needed, windows = [], [], []
-    for number, (_, words) in enumerate(items):
-        weights.append([math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 0.01 for w in words])
+    plans = []
+    for item_id, words in items:
+        weight = [math.log((documents + 1) / (frequency.get(w, 0) + 1)) + 0.01 for w in words]
         window, per_window, need = anchor_plan(len(words), least, share)
-        needed.append(need)
-        windows.append(window)
-        for k in anchor_positions(words, frequency, window, per_window):
-            postings.setdefault(words[k], []).append((number, k))
+        anchors = anchor_positions(words, frequency, window, per_window)
+        plans.append((item_id, words, weight, window, need, anchors))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, {}
         for batch in batches:
-            docs, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                words = WORD.findall(text.lower())
-                meets: dict[int, list[int]] = {}
-                held: set[str] | None = None
-                for p, w in enumerate(words):
-                    if w in postings:
-                        for number, k in postings[w]:
-                            meets.setdefault(number, []).append(p - k)
-                for number, offsets in meets.items():
-                    need = needed[number]
-                    if len(offsets) < need:
-                        continue
-                    offsets.sort()
-                    item, weight, tried = items[number][1], weights[number], None
-                    if all(b - a > slack for a, b in zip(offsets, offsets[need - 1 :])):
-                        continue
-                    if held is None:
-                        held = set(words)
-                    if not could_hold(item, held, weight, windows[number], share):
-                        continue
-                    for a, b in zip(offsets, offsets[need - 1 :]):
-                        if b - a > slack or tried is not None and a - tried <= 1:
-                            continue
-                        tried = a
-                        spans, part = best_passage(item, words, a, weight, slack)
-                        if part >= share and spans >= len(item) * least:
-                            docs.append(doc_id)
-                            found.append(items[number][0])
-                            break
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
+            out: list[tuple] = []
+            for number, term, postings in zip(*(batch.column(c).to_pylist() for c in ("shard", "term", "postings"))):
+                if number != shard:
+                    out += _hits(plans, held, least, share, slack)
+                    shard, held = number, {}
+                held[term] = np.frombuffer(postings, dtype=np.int64)
+            yield _found(out)
+        yield _found(_hits(plans, held, least, share, slack))
 
     return search
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: float = 1 / 3, share: float = 0.85, slack: int = 12) -> DataFrame:
-    """(doc_id, item_id), once for each document of `documents` (doc_id, text) that holds a passage of an item (item_id, body).
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([], [], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=["doc_id", "item_id", "position", "words", "exact"])
+
+
+def _hits(plans: list[tuple], held: dict[str, np.ndarray], least: float, share: float, slack: int) -> list[tuple]:
+    """(doc_id, item_id, position, words, exact) of the first passage of each item in each document of one shard."""
+    out = []
+    for item_id, words, weight, window, need, anchors in plans:
+        lists = [held[words[k]] - k for k in anchors if words[k] in held]
+        if len(lists) < need and sum(map(len, lists)) < need:
+            continue
+        offsets = np.sort(np.concatenate(lists))
+        meets = offsets[: len(offsets) - need + 1][offsets[need - 1 :] - offsets[: len(offsets) - need + 1] <= slack]
+        if not len(meets):
+            continue
+        own = {w: held[w] for w in set(words) if w in held}
+        firsts = np.flatnonzero(np.r_[True, np.diff(meets >> 32) != 0])
+        for starts in np.split(meets, firsts[1:]):
+            document = int(starts[0]) >> 32
+            places: dict[int, str] = {}
+            for word, postings in own.items():
+                a, b = np.searchsorted(postings, [document << 32, (document + 1) << 32])
+                for p in postings[a:b].tolist():
+                    places[p] = word
+            if not could_hold(words, set(places.values()), weight, window, share):
+                continue
+            tried = None
+            for start in starts.tolist():
+                if tried is not None and start - tried <= 1:
+                    continue
+                tried = start
+                spans, part, began, exact = locate_passage(words, places, start, weight, slack)
+                if part >= share and spans >= len(words) * least:
+                    out.append((int(held[""][document]), item_id, (began & 0xFFFFFFFF) - _SHIFT, spans, exact))
+                    break
+    return out
+
+
+def search_index(index: DataFrame, items: list[tuple[int, list[str]]], least: float = 1 / 3, share: float = 0.85, slack: int = 12) -> DataFrame:
+    """(doc_id, item_id, position, words, exact) of the passages of `items` (id, words), a bounded block, that `index` holds.
+
+    position is the word of the document at which the passage begins, words how many of the item's words it spans, exact whether it
+    is an exact phrase rather than a proximity match. The index must cover the words of the items.
+    """
+    wanted = index.sparkSession.createDataFrame([(w,) for w in sorted({"", *(w for _, words in items for w in words)})], "term string")
+    counted = index.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.sum("documents").alias("n"))
+    frequency = {r.term: r.n for r in counted.collect()}
+    return index.mapInArrow(_search(sorted(items), frequency, least, share, slack), "doc_id bigint, item_id bigint, position bigint, words int, exact boolean")
+
+
+def find_passages(documents: DataFrame, items: DataFrame, least: float = 1 / 3, share: float = 0.85, slack: int = 12) -> DataFrame:
+    """(doc_id, item_id, position, words, exact) of the documents (doc_id, text) that hold a passage of an item (item_id, body).
 
     A passage spans at least `least` of the item's words, in their order, and matches `share` of them by weight.
-    Case, punctuation, line breaks and repeated rows do not matter. Null and empty texts and items hold nothing; an
-    item is found by what its rows share if its id repeats. Other columns of both tables are ignored.
+    Case, punctuation and line breaks do not matter; repeated rows give repeated rows. Null ids, null and empty texts and items hold
+    nothing; an item is found by what its rows share if its id repeats. Other columns of both tables are ignored.
     """
-    pairs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bodies = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("body").cast("string").alias("body")).where("item_id is not null and trim(body) != ''").distinct()
     chars = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     results = []
     for block in range(blocks):
         rows = bodies.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else bodies
-        queries = [(r.item_id, w) for r in rows.collect() if (w := words_of(r.body))]
-        vocabulary = {w for _, words in queries for w in words}
-        counted = pairs.select("text").mapInArrow(_frequencies(vocabulary), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-        frequency = {r.term: r.n for r in counted.collect()}
-        results.append(pairs.mapInArrow(_search(sorted(queries), frequency, least, share, slack), "doc_id bigint, item_id bigint"))
-    return reduce(DataFrame.unionByName, results).distinct()
+        asked = [(r.item_id, w) for r in rows.collect() if (w := words_of(r.body))]
+        index = build_index(documents, {w for _, words in asked for w in words})
+        results.append(search_index(index, asked, least, share, slack))
+    return reduce(DataFrame.unionByName, results)
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, least: float = 1 / 3, share: float = 0.85, slack: int = 12) -> DataFrame:
+    """(doc_id, item_id), once for each document that holds a passage of an item; see find_passages."""
+    return find_passages(documents, items, least, share, slack).select("doc_id", "item_id").distinct()

@@ -1,6 +1,6 @@
 """Leaked passages against a reading of every pair."""
 
-from patrika.llm.leakage import anchor_plan, anchor_positions, best_passage, could_hold, find_leaks, words_of
+from patrika.llm.leakage import anchor_plan, anchor_positions, best_passage, build_index, could_hold, find_leaks, find_passages, search_index, words_of
 from patrika.sources.tables import read_table
 
 ITEM = "Gunador buys 251 kg of cardamom at 41 coins, spoils a fifth in the tithe barn, and sells the rest to Vunubas at a gain of 7 per cent on the river quay near Sapuyogiria."
@@ -32,6 +32,19 @@ def test_cases(spark):
     assert find_leaks(documents, items.limit(0)).count() == 0
 
 
+def test_one_index_answers_other_items(spark):
+    """The index of all terms is asked for two sets of items and gives where each passage begins and whether it is exact."""
+    other = "The ferryman of Talabu counts 63 lanterns before dawn and lends nine of them to the glass smith for a week in Lent."
+    documents = spark.createDataFrame([(1, f"One two three. {ITEM}"), (2, f"Three, {other.replace('counts', 'numbers')} four"), (3, "nothing of it"), (None, ITEM)], "doc_id bigint, text string")
+    index = build_index(documents)
+    first = [tuple(r) for r in search_index(index, [(7, words_of(ITEM))]).collect()]
+    assert first == [(1, 7, 3, len(words_of(ITEM)), True)]
+    second = [tuple(r) for r in search_index(index, [(8, words_of(other))]).collect()]
+    assert second == [(2, 8, 1, len(words_of(other)), False)]
+    items = spark.createDataFrame([(7, ITEM), (8, other)], "item_id bigint, body string")
+    assert sorted(tuple(r) for r in find_passages(documents, items).collect()) == first + second
+
+
 def test_index_equals_every_pair(spark, folder):
     """Reading every item against every document at every offset finds nothing that the index misses."""
     documents, items = read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items").where("item_id < 12")
