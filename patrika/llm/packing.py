@@ -128,7 +128,7 @@ def pack(counts: DataFrame, capacities: list[int]) -> DataFrame:
 
 def packed_texts(documents: DataFrame, containers: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """pack() of the texts of `documents` for each capacity of `containers` (a bounded list); null or non-positive ones are ignored."""
-    capacities = [r[0] for r in containers.select("capacity_tokens").where("capacity_tokens > 0").distinct().limit(1000).collect()]
+    capacities = [r[0] for r in containers.select("capacity_tokens").where("capacity_tokens > 0").distinct().collect()]
     counts = cut_lineage(token_counts(documents, vocabulary))
     return pack(counts, capacities)
 

@@ -1,11 +1,12 @@
 """Texts cut off before their end, and how often each source cuts.
 
-A stack automaton reads each whole text and reports what its end leaves open: brackets, quotes, markup, a
-broken multibyte sequence or escape, and the last sentence if it has no terminator. Whether a missing
-terminator means a cut is not a matter of the text alone, since lists, tables and signatures end without
-one. It is decided from the corpus: for each sentence opening, the share of its sentences that end
-with a terminator. An open end whose opening nearly always leads to a terminated sentence was cut. For openings
-that go either way, the bar moves with the baseline of the source, the share of its texts that are cut for certain.
+A stack automaton reads each whole text once. Every sentence, bracket, quote and element is put on its stack where it opens
+and taken off where it closes; an escape, a tag or a multibyte sequence that the end breaks stays on top. What is left on the stack is what
+the text leaves open, and a text with an empty stack is whole. Whether an open sentence means a cut is not a matter of the text alone,
+since lists, tables and signatures end without a terminator. It is decided from the corpus: for each sentence opening, the share
+of its sentences that end with a terminator. An open end whose opening nearly always leads to a terminated sentence
+was cut. For openings that go either way, the bar moves with the baseline of the source, the share of its texts that are cut
+for certain, and an open bracket, quote or element lowers it.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from patrika.session import cut_lineage
 CUT_MARKS = r"(?:…|\.\.\.|\[(?:more|\.\.\.|…|cut|truncated|contd\.?)\]|\((?:more|\.\.\.|…|truncated|contd\.?)\)|(?:read|show|see) more|>>+|»)"
 
 _MARK_END = re.compile(rf"[\s]*({CUT_MARKS})\s*$", re.I)
-_ESCAPE_END = re.compile(r"(?:&(?:[a-z]{1,6}|#x?[0-9a-f]{0,5})|%[0-9a-f]?|\\(?:u[0-9a-f]{0,3}|x[0-9a-f]?)?|<[/a-z!][^<>]{0,200})$", re.I)
+_ESCAPE_END = re.compile(r"&(?:(?-i:[a-z]{1,6})|#x?[0-9a-f]{0,5})$|%[0-9a-f]?$|\\(?:u[0-9a-f]{0,3}|x[0-9a-f]?)?$", re.I)
+_TAG_END = re.compile(r"<(?:!-{0,2}|[/!]?[a-z][a-z0-9]*(?:\s+[a-z-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*(?:\s+[a-z-]+\s*=\s*(?:\"[^\"]*|'[^']*)?)?\s*/?)$", re.I)
 _WRAP = re.compile(r"(?<=[a-z,ऀ-ॿ-])\n(?=[a-z])")
-_UNIT = re.compile(r"(?<=[.?!])[\"')\]]*[ \t]+(?=[A-Zऀ-ॿ\"'(])|(?<=।)[ \t]+|\s*\n\s*")
+_UNIT = re.compile(r"(?<=[.?!])([\"')\]]*)[ \t]+(?=[A-Zऀ-ॿ\"'(])|(?<=।)[ \t]+|\s*\n\s*")
 _ABBREVIATED = re.compile(r"(?:^|[\s(])(?:rs|no|dr|shri|smt|advt|govt|dt|sr|jr|a\.m|p\.m|st|dept|art|sec)\.$|^\(?\d{1,3}\.$", re.I)
-_ENDED = re.compile(r"[.?!।][\"')\]]*$")
 _DIGITS = re.compile(r"\d+")
-_SIGNED = re.compile(r"(?:^|\n)\s*sd/?-[^\n]*(?:\n[^\n]{0,120}){0,3}$", re.I)
-_BRACKETS = re.compile(r"[()\[\]{}“”\"]|<(/?)([a-z][a-z0-9]*)(?:\s[^<>]*)?>", re.I)
+_SIGNED = re.compile(r"\s*sd/?-", re.I)
+_MARKS = re.compile(r"[()\[\]{}“”\"]|<(/?)([a-z][a-z0-9]*)(?:\s[^<>]*)?>", re.I)
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“"}
 # Elements that need an end tag.
 _ENDING = {"a", "b", "i", "u", "em", "strong", "span", "small", "sup", "sub", "div", "table", "ul", "ol", "dl", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "section", "article", "form", "font", "center"}
@@ -41,52 +42,135 @@ _SCHEMA = "kind string, doc_id bigint, source string, key1 string, key2 string,
 MARKED, BROKEN, OPEN_BRACKET, UNENDED, AFTER_SENTENCE, SIGNED, SAME_LINE = 1, 2, 4, 8, 16, 32, 64
 
 
-def open_brackets(text: str) -> int:
-    """Brackets, quotes and elements still open at the end; a closer without its opener is skipped.
+class StackAutomaton:
+    """Reads a text sentence by sentence; `stack` is what is open.
 
-    Straight quotes and elements cross brackets, so each kind has a stack of its own. A straight quote opens only before a
-    word and not after one, which leaves out inches and ditto marks.
+    A closer takes off the last opener of its kind, since quotes and elements cross brackets; one without an opener is skipped. A straight
+    quote opens only before a word and not after one, which leaves out inches and ditto marks.
     """
-    stack: list[str] = []
-    elements: Counter = Counter()
-    quoted = False
-    for m in _BRACKETS.finditer(text):
-        c = m.group()
-        if c == '"':
-            quoted = not quoted and not text[m.start() - 1 : m.start()].isalnum() and text[m.end() : m.end() + 1].strip() != ""
-        elif m.group(2):
-            name = m.group(2).lower()
-            if name not in _ENDING or c.endswith("/>"):
-                continue
-            if not m.group(1):
-                elements[name] += 1
-            elif elements[name]:
-                elements[name] -= 1
-        elif c in _PAIRS:
-            if stack and stack[-1] == _PAIRS[c]:
-                stack.pop()
-        else:
-            stack.append(c)
-    return len(stack) + elements.total() + quoted
+
+    SENTENCE, ESCAPE, TAG, BYTES = "sentence", "escape", "tag", "bytes"
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+
+    def close(self, symbol: str) -> bool:
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k] == symbol:
+                del self.stack[k]
+                return True
+        return False
+
+    def read(self, unit: str) -> None:
+        """One sentence or line, left open."""
+        self.stack.append(self.SENTENCE)
+        for m in _MARKS.finditer(unit):
+            c = m.group()
+            if c == '"':
+                if not self.close(c) and not unit[m.start() - 1 : m.start()].isalnum() and unit[m.end() : m.end() + 1].strip():
+                    self.stack.append(c)
+            elif name := m.group(2):
+                name = name.lower()
+                if name in _ENDING and not c.endswith("/>"):
+                    if m.group(1):
+                        self.close(name)
+                    else:
+                        self.stack.append(name)
+            elif c in _PAIRS:
+                self.close(_PAIRS[c])
+            else:
+                self.stack.append(c)
+
+    def end_sentence(self) -> None:
+        self.close(self.SENTENCE)
+
+    def end_text(self, body: str, broken: bool) -> None:
+        """What the end of the text breaks stays on top of the stack."""
+        if broken:
+            self.stack.append(self.BYTES)
+        tag = body.rfind("<")
+        if tag >= 0 and _TAG_END.match(body, tag):
+            self.stack.append(self.TAG)
+        elif _ESCAPE_END.search(body, max(0, len(body) - 12)):
+            self.stack.append(self.ESCAPE)
+
+    def flags(self) -> int:
+        left = set(self.stack)
+        broken = left & {self.BYTES, self.TAG, self.ESCAPE}
+        out = (BROKEN if broken else 0) | (UNENDED if self.SENTENCE in left else 0)
+        return out | (OPEN_BRACKET if left - broken - {self.SENTENCE} else 0)
+
+
+def open_brackets(text: str) -> int:
+    """Brackets, quotes and elements still open at the end."""
+    automaton = StackAutomaton()
+    automaton.read(text)
+    automaton.end_sentence()
+    return len(automaton.stack)
 
 
 def _keys(unit: str) -> list[str]:
-    words = _DIGITS.sub("9", unit[:160].lower()).split(None, 3)[:3]
+    words = _DIGITS.sub("9", " ".join(unit.split(None, 3)[:3]).lower()).split(" ")
     return [" ".join(words[: k + 1]) for k in range(len(words))]
 
 
-def read_end(text: str) -> tuple[str, int]:
-    """(the last sentence or line without cut marks, flags)."""
-    flags, body = 0, text.rstrip()
-    if body.endswith("�") or any("\ud800" <= c <= "\udfff" for c in body[-1:]):
-        flags |= BROKEN
+def _ended(unit: str) -> bool:
+    return unit.rstrip("\"')]")[-1:] in (".", "?", "!", "।")
+
+
+def sentences(body: str) -> list[str]:
+    """The sentences and lines of a text, closers with the sentence that they end; wrapped lines are one."""
+    text = _WRAP.sub(" ", body)
+    units, held, at = [], "", 0
+    spans = [(m.end(1) if m.group(1) else m.start(), m.end()) for m in _UNIT.finditer(text)]
+    for stop, after in [*spans, (len(text), len(text))]:
+        unit, at = text[at:stop], after
+        held = f"{held} {unit}" if held else unit
+        if not _ABBREVIATED.search(held if len(held) < 12 else f" {held[-11:]}"):
+            units.append(held)
+            held = ""
+    if held:
+        units.append(held)
+    return [u for u in units if u] or [""]
+
+
+def read_text(text: str) -> tuple[list[str], int, str]:
+    """(sentences, flags, the text without cut marks): one pass of the automaton over a whole text."""
+    marked, body = 0, text.rstrip()
+    broken = body.endswith("�") or any("\ud800" <= c <= "\udfff" for c in body[-1:])
+    if broken:
         body = body.rstrip("�").rstrip()
-    while m := _MARK_END.search(body[-40:]):
-        flags |= MARKED
-        body = body[: len(body) - len(body[-40:]) + m.start()].rstrip()
-    if _ESCAPE_END.search(body[-220:]):
-        flags |= BROKEN
-    return body, flags
+    # the longest mark has 12 characters but for a row of ">"
+    while m := _MARK_END.search(body, max(0, len(body.rstrip(">")) - 14)):
+        marked = MARKED
+        body = body[: m.start()].rstrip()
+    automaton = StackAutomaton()
+    units = sentences(body)
+    for unit in units[:-1]:
+        automaton.read(unit)
+        automaton.end_sentence()
+    automaton.read(units[-1])
+    if _ended(units[-1]):
+        automaton.end_sentence()
+    automaton.end_text(body, broken)
+    flags = marked | automaton.flags()
+    if len(units) > 1 and _ended(units[-2]):
+        flags |= AFTER_SENTENCE
+        if "\n" not in body[-len(units[-1]) - 2 : -len(units[-1])]:
+            flags |= SAME_LINE
+    if _signed(body):
+        flags |= SIGNED
+    return units, flags, body
+
+
+def _signed(body: str) -> bool:
+    """Whether the text ends with a signature and at most three short lines after it."""
+    for line in reversed(body.rsplit("\n", 4)[-4:]):
+        if _SIGNED.match(line):
+            return True
+        if len(line) > 120:
+            return False
+    return False
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,19 +193,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text is None or not text.strip():
                 rows.append(("d", doc, source, None, None, None, None, None, 0, 0))
                 continue
-            body, flags = read_end(text)
-            units, held = [], ""
-            for unit in _UNIT.split(_WRAP.sub(" ", body)):
-                held = f"{held} {unit}" if held else unit
-                if not _ABBREVIATED.search(held if len(held) < 12 else f" {held[-11:]}"):
-                    units.append(held)
-                    held = ""
-            if held:
-                units.append(held)
-            units = [u for u in units if u] or [""]
+            units, flags, _ = read_text(text)
             last = units.pop()
             for unit in units:
-                end = 1 if _ENDED.search(unit[-6:]) else 0
+                end = 1 if _ended(unit) else 0
                 for key in _keys(unit):
                     c = counts.get(key)
                     if c is None:
@@ -130,25 +205,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         c[0] += 1
                         c[1] += end
             keys, words = _keys(last), len(last.split())
-            if not _ENDED.search(last[-6:]):
-                flags |= UNENDED
-            else:
+            if _ended(last):
                 # a whole end counts for its opening like any other sentence
                 for key in keys:
                     c = counts.setdefault(key, [0, 0])
                     c[0] += 1
                     c[1] += 0 if flags & (MARKED | BROKEN) else 1
-            if open_brackets(body):
-                flags |= OPEN_BRACKET
-            if units and _ENDED.search(units[-1][-6:]):
-                flags |= AFTER_SENTENCE
-                if "\n" not in body[-len(last) - 2 : -len(last)]:
-                    flags |= SAME_LINE
-            if _SIGNED.search(body[-400:]):
-                flags |= SIGNED
             keys = (keys + [None] * 3)[:3]
             rows.append(("d", doc, source, *keys, None, None, words, flags))
-            if not flags & UNENDED:
+            if _ended(last):
                 continue
             for key in keys:
                 if key is not None:
@@ -175,6 +240,8 @@ def find_truncated(documents: DataFrame, min_share: float = 0.8, min_count: int
     stats = stats.where(F.col("n") >= min_count).join(asked, "key", "left_semi").select("key", F.struct((F.col("ended") / F.col("n")).alias("share"), "n").alias("stat"))
     out = ends
     for k in (1, 2, 3):
+        # short ends lack a key: each gets its own, so that they do not meet in one partition
+        out = out.withColumn(f"key{k}", F.coalesce(f"key{k}", F.concat(F.lit("\x01"), F.xxhash64("doc_id", "source", "key1").cast("string"))))
         out = out.join(stats.select(F.col("key").alias(f"key{k}"), F.col("stat").alias(f"stat{k}")), f"key{k}", "left")
     has = lambda bit: F.col("flags").bitwiseAND(bit) != 0
     # the k-th word of an opening is looked up only if another word follows it, or it is seen on its own

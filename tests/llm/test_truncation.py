@@ -1,6 +1,7 @@
 """Texts cut off before their end."""
 
-from patrika.llm.truncation import find_truncated, open_brackets, read_end, truncation_by_source
+from patrika.llm import truncation
+from patrika.llm.truncation import StackAutomaton, find_truncated, open_brackets, read_text, sentences, truncation_by_source
 
 SENTENCES = ["The fee must be paid before the last date given above.", "Candidates shall report at the centre in good time.", "Selected persons are placed on probation for two years."]
 
@@ -30,7 +31,22 @@ def test_cases(spark):
 
 def test_automaton():
     assert open_brackets("a (b [c] d") == 1 and open_brackets("a ) b") == 0 and open_brackets("“x”") == 0
-    assert read_end("text &am")[1] == 2 and read_end("a <di")[1] == 2 and read_end("50% of") == ("50% of", 0)
+    broken = lambda text: bool(read_text(text)[1] & truncation.BROKEN)
+    assert broken("text &am") and broken("a <di") and broken('a <div class="x y') and broken("x\\u09") and broken("x%2") and broken("भाष�")
+    assert not broken("50% of") and not broken("a < b") and not broken("<b>x</b>") and not broken("AT&T") and read_text("A. B (see")[1] & truncation.OPEN_BRACKET
+    assert read_text("One. Two (three")[1] & truncation.UNENDED and not read_text("One. Two (three).")[1] & (truncation.UNENDED | truncation.OPEN_BRACKET)
+    assert sentences('He said "go." Then No. 4 came.\nA line\nwrapped one') == ['He said "go."', "Then No. 4 came.", "A line wrapped one"]
+
+
+def test_rows_vanish_without_the_stack(spark, monkeypatch):
+    """Planted open quotes, brackets, tags and escapes are found by what the automaton leaves on its stack, and by nothing else."""
+    start = SENTENCES[0] + "\n\n"
+    ends = ['Quoted "as the notice has it', "Bracketed (as the notice has it", "Braced [as the notice has it", "Marked <em>as the notice has it", "Tagged <a href", "Escaped as &am", "Escaped as \\u09", "Candidates shall report at the"]
+    rows = [(d, t, s) for d, t, s in corpus()] + [(1000 + i, start + end, "c") for i, end in enumerate(ends)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in find_truncated(frame).where("cut").collect()} == {1000 + i for i in range(len(ends))}
+    monkeypatch.setattr(StackAutomaton, "flags", lambda self: 0)
+    assert find_truncated(frame).where("cut").count() == 0
 
 
 def test_brackets_open_before_the_last_paragraph(spark):
