@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The two ways in which a count of posts is stated.
+VACANCIES = [r"(?i)(\d{1,3}(?:,\d{3})+|\d+)\s*(?:posts?|vacancies|vacancy)", r"(?i)(?:total\s+)?vacanc(?:y|ies)\s*[:\-]?\s*(\d{1,3}(?:,\d{3})+|\d+)"]
 _DMY = r"(\d{1,2})[./\-](\d{1,2})[./\-](\d{4})"
 
 
@@ -29,11 +31,9 @@ def first_amount(c: Column) -> Column:
 
 
 def vacancy_count(c: Column) -> Column:
-    """The number before "posts" or "vacancies", else after "total posts"; null without one."""
-    text = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r",", ""))
-    before = F.regexp_extract(text, r"(\d+)\s+(?:posts|post|vacancies|vacancy)\b", 1)
-    after = F.regexp_extract(text, r"total\s+(?:posts|vacancies)\s*[:\-]?\s*(\d+)", 1)
-    return F.coalesce(before.try_cast("bigint"), after.try_cast("bigint"))
+    """The number before "posts" or "vacancies", with or without a space, else after "vacancies"; null without one."""
+    text = F.coalesce(c, F.lit(""))
+    return F.coalesce(*[F.regexp_replace(F.regexp_extract(text, p, 1), ",", "").try_cast("bigint") for p in VACANCIES])
 
 
 def age_range(c: Column) -> tuple[Column, Column]:

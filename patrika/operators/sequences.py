@@ -26,11 +26,18 @@ def failures_since_success(rows: DataFrame, key: str, at: Sequence[str], ok: Col
     return joined.groupBy(key).agg(failures.alias("failures"), F.max("_ok")[at[0]].alias("last_success"))
 
 
-def crawl_frequency(priority: Column, configured: Column, failures: Column) -> Column:
-    """Minutes between visits: the lesser of the configured number and that of the priority; a day at least after five failures."""
-    by_priority = F.when(priority >= 4, 30).when(priority == 3, 120).when(priority == 2, 360).otherwise(1440)
-    minutes = F.least(F.coalesce(configured, by_priority), by_priority)
-    return F.when(F.coalesce(failures, F.lit(0)) >= 5, F.greatest(minutes, F.lit(1440))).otherwise(minutes)
+# Minutes between visits by the least priority of each band, and for no band.
+BANDS, SELDOM = [(90, 30), (70, 120), (50, 360)], 1440
+
+
+def crawl_frequency(priority: Column, configured: Column, failures: Column, bands: list[tuple[int, int]] = BANDS) -> Column:
+    """Minutes between visits: the lesser of the configured number (a day if none) and that of the priority's band (50 if none); a day at least after five failures."""
+    wanted = F.coalesce(F.when(priority != 0, priority), F.lit(50))
+    by_priority = F.lit(SELDOM)
+    for least, minutes in reversed(bands):
+        by_priority = F.when(wanted >= least, minutes).otherwise(by_priority)
+    minutes = F.least(F.coalesce(F.when(configured != 0, configured), F.lit(SELDOM)), by_priority)
+    return F.when(F.coalesce(failures, F.lit(0)) >= 5, F.greatest(minutes, F.lit(SELDOM))).otherwise(minutes)
 
 
 def due(last: Column, minutes: Column, as_of: Column) -> Column:

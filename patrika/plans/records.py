@@ -18,16 +18,22 @@ RAW_FIELDS = ["title", "organization", "advertisement_number", "post_name", "sta
 WANTED, NOISE = "recruitment|notice|result|admit|corrigendum", "sitemap|screen reader|login"
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL if it has one."""
+def registrar(queries: dict, oracles: dict[str, str]):
+    """A decorator that registers a query under its function's name, with its SQL if it has one."""
 
-    def keep(f):
-        QUERIES[f.__name__] = lambda spark, folder: f(lambda name: read_table(spark, folder, name), spark)
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):
+        def keep(f):
+            queries[f.__name__] = lambda spark, folder: f(lambda name: read_table(spark, folder, name), spark)
+            if sql:
+                oracles[f.__name__] = sql
+            return f
 
-    return keep
+        return keep
+
+    return query
+
+
+query = registrar(QUERIES, ORACLES)
 
 
 # ------------------------------------------------------------------ listings
@@ -140,7 +146,7 @@ def content_hashes(t, spark) -> DataFrame:
 
 
 @query("""SELECT id, CASE WHEN b = '' THEN 'job' ELSE b END || '-' || substr(sha1(id),1,8) AS slug FROM (SELECT id,
-regexp_replace(substr(regexp_replace(regexp_replace(lower(coalesce(title,'')),'[^a-z0-9]+','-','g'),'^-+|-+$','','g'),1,120),'-+$','') AS b FROM (SELECT DISTINCT id, title FROM jobs))""")
+substr(regexp_replace(regexp_replace(trim(regexp_replace(lower(coalesce(title,'')),'[^a-z0-9\\s-]','','g')),'\\s+','-','g'),'-+','-','g'),1,120) AS b FROM (SELECT DISTINCT id, title FROM jobs))""")
 def stable_slugs(t, spark) -> DataFrame:
     return t("jobs").select("id", "title").distinct().select("id", text.stable_slug(F.col("title"), F.col("id")).alias("slug"))
 
@@ -175,8 +181,7 @@ def fee_amounts(t, spark) -> DataFrame:
     return t("field_candidates").where("field_name = 'application_fee'").select("id", values.first_amount(F.col("value")).alias("amount")).distinct()
 
 
-@query("""SELECT id, coalesce(TRY_CAST(regexp_extract(v,'(\\d+)\\s+(?:posts|post|vacancies|vacancy)\\b',1) AS BIGINT), TRY_CAST(regexp_extract(v,'total\\s+(?:posts|vacancies)\\s*[:\\-]?\\s*(\\d+)',1) AS BIGINT)) AS vacancies
-FROM (SELECT DISTINCT id, lower(replace(coalesce(title,''),',','')) AS v FROM jobs)""")
+@query(f"""SELECT id, coalesce({', '.join(f"TRY_CAST(replace(regexp_extract(v,'{p}',1),',','') AS BIGINT)" for p in values.VACANCIES)}) AS vacancies FROM (SELECT DISTINCT id, coalesce(title,'') AS v FROM jobs)""")
 def vacancies_of_titles(t, spark) -> DataFrame:
     return t("jobs").select("id", "title").distinct().select("id", values.vacancy_count(F.col("title")).alias("vacancies"))
 
@@ -349,7 +354,7 @@ def events_since_purchase(t, spark) -> DataFrame:
     return sequences.failures_since_success(t("events"), "user_id", ["ts", "event_id"], F.col("event_type") == "purchase").select("user_id", "failures")
 
 
-@query(f"""WITH s AS (SELECT DISTINCT id, CASE WHEN priority >= 4 THEN 30 WHEN priority = 3 THEN 120 WHEN priority = 2 THEN 360 ELSE 1440 END AS p, crawl_frequency_minutes AS c, coalesce(consecutive_failures,0) AS f, last_crawled_at AS l FROM sources WHERE is_active),
+@query(f"""WITH s AS (SELECT DISTINCT id, CASE WHEN coalesce(nullif(priority,0),50) >= 90 THEN 30 WHEN coalesce(nullif(priority,0),50) >= 70 THEN 120 WHEN coalesce(nullif(priority,0),50) >= 50 THEN 360 ELSE 1440 END AS p, coalesce(nullif(crawl_frequency_minutes,0),1440) AS c, coalesce(consecutive_failures,0) AS f, last_crawled_at AS l FROM sources WHERE is_active),
 m AS (SELECT *, CASE WHEN f >= 5 THEN greatest(least(coalesce(c,p),p),1440) ELSE least(coalesce(c,p),p) END AS minutes FROM s)
 SELECT id, minutes, l IS NULL OR epoch_us(l) + minutes::BIGINT * 60000000 <= epoch_us(TIMESTAMPTZ '{AS_OF}+00') AS due FROM m""")
 def due_sources(t, spark) -> DataFrame:

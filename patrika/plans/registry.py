@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from patrika.plans import dates, records
+from patrika.plans import dates, extraction, parsing, records
 
-MODULES = [dates, records]
+MODULES = [dates, records, extraction, parsing]
 
 
 def queries() -> dict:
