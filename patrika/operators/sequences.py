@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def contiguous_ranges(rows: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
@@ -51,30 +53,44 @@ def window_counts(rows: DataFrame, key: str, at_seconds: str, window_seconds: in
     return rows.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 
+class SlidingLog:
+    """A limiter's log of admitted times: at most `limit` of them; refused requests leave no trace."""
+
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window, self.log = limit, window, deque()
+
+    def admit(self, t: int) -> bool:
+        while self.log and self.log[0] <= t - self.window:
+            self.log.popleft()
+        if len(self.log) >= self.limit:
+            return False
+        self.log.append(t)
+        return True
+
+
 def admit(times: list[int], limit: int, window: int) -> list[bool]:
-    """Which of the ascending times a sliding log admits; refused ones leave no trace in it."""
-    log: list[int] = []
-    out, head = [], 0
-    for t in times:
-        while head < len(log) and log[head] <= t - window:
-            head += 1
-        ok = len(log) - head < limit
-        if ok:
-            log.append(t)
-        out.append(ok)
-    return out
+    """Which of the ascending times a sliding log admits."""
+    log = SlidingLog(limit, window)
+    return [log.admit(t) for t in times]
 
 
 def rate_limited(rows: DataFrame, key: str, ident: str, at_seconds: str, limit: int, window_seconds: int) -> DataFrame:
     """(key, ident, allowed): the decision of a sliding-log limiter for each request, by time, then id.
 
-    Admission depends on earlier admissions, so it is a loop over the requests of one key; only their ids and times are held.
+    Admission depends on earlier admissions, so the requests of one key are read in order; they stream through their task, which
+    keeps the log of one key, `limit` times at most.
     """
     kept = rows.select(key, ident, at_seconds)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(key, ident).schema) + ", allowed boolean"
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([at_seconds, ident], kind="stable")
-        return group[[key, ident]].assign(allowed=admit(group[at_seconds].tolist(), limit, window_seconds))
-
-    return kept.groupBy(key).applyInPandas(decide, schema)
+    schema = StructType([*kept.select(key, ident).schema.fields, StructField("allowed", BooleanType())])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, log = object(), SlidingLog(limit, window_seconds)
+        for batch in batches:
+            allowed = []
+            for who, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if who != now:
+                    now, log = who, SlidingLog(limit, window_seconds)
+                allowed.append(log.admit(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed, pa.bool_())], names=[key, ident, "allowed"])
+
+    return kept.repartition(F.col(key)).sortWithinPartitions(key, at_seconds, ident).mapInArrow(decide, schema)

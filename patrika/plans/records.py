@@ -100,33 +100,18 @@ def jobs_of_banking_sources(t, spark) -> DataFrame:
     return t("jobs").join(items, "raw_item_id", "left_semi").select("id").distinct()
 
 
-@query("""SELECT s.id, count(c.id) AS items, coalesce(string_agg(c.id, ',' ORDER BY c.id), '') AS item_ids FROM (SELECT DISTINCT id FROM sources) s
-LEFT JOIN (SELECT DISTINCT source_id, id FROM raw_items WHERE notice_type = 'syllabus') c ON c.source_id = s.id GROUP BY s.id""")
-def nested_items_of_source(t, spark) -> DataFrame:
-    children = t("raw_items").where("notice_type = 'syllabus'").select(F.col("source_id").alias("sid"), F.col("id").alias("item")).distinct()
-    nested = listing.nested_children(t("sources").select(F.col("id").alias("sid")).distinct(), children, "sid", ["item"], ["item"], "items_")
-    return nested.select(F.col("sid").alias("id"), F.size("items_").cast("bigint").alias("items"), F.array_join(F.transform("items_", lambda x: x["item"]), ",").alias("item_ids"))
-
-
 @query("""SELECT s.id, coalesce(c.chunk, 0) AS chunk, count(c.id) AS items, coalesce(string_agg(c.id, ',' ORDER BY c.id), '') AS item_ids FROM (SELECT DISTINCT id FROM sources) s
 LEFT JOIN (SELECT source_id, id, (row_number() OVER (PARTITION BY source_id ORDER BY id) - 1) // 1000 AS chunk FROM (SELECT DISTINCT source_id, id FROM raw_items WHERE id IS NOT NULL)) c
 ON c.source_id = s.id GROUP BY s.id, c.chunk""")
-def nested_chunks_of_source(t, spark) -> DataFrame:
+def nested_items_of_source(t, spark) -> DataFrame:
     children = t("raw_items").where("id is not null").select(F.col("source_id").alias("sid"), F.col("id").alias("item")).distinct()
     nested = listing.nested_chunks(t("sources").select(F.col("id").alias("sid")).distinct(), children, "sid", ["item"], "items_", 1000)
     return nested.select(F.col("sid").alias("id"), "chunk", F.size("items_").cast("bigint").alias("items"), F.array_join(F.transform("items_", lambda x: x["item"]), ",").alias("item_ids"))
 
 
-@query("""SELECT job_id, value, next_confidence FROM (SELECT job_id, value, lead(confidence) OVER w AS next_confidence, row_number() OVER w AS k
-FROM (SELECT DISTINCT job_id, id, value, confidence FROM field_candidates WHERE field_name = 'salary') WINDOW w AS (PARTITION BY job_id ORDER BY confidence DESC NULLS LAST, id)) WHERE k = 1""")
-def best_and_runner_up(t, spark) -> DataFrame:
-    rows = t("field_candidates").where("field_name = 'salary'").select("job_id", "id", "value", "confidence").distinct()
-    return listing.best_and_runner_up(rows, ["job_id"], "confidence", [F.col("id")]).select("job_id", "value", F.col("next_score").alias("next_confidence"))
-
-
 @query("""SELECT job_id, field_name, value, next_confidence FROM (SELECT job_id, field_name, value, lead(confidence) OVER w AS next_confidence, row_number() OVER w AS k
 FROM (SELECT DISTINCT job_id, field_name, id, value, confidence FROM field_candidates) WINDOW w AS (PARTITION BY job_id, field_name ORDER BY confidence DESC NULLS LAST, id, value)) WHERE k = 1""")
-def best_and_runner_up_by_field(t, spark) -> DataFrame:
+def best_and_runner_up(t, spark) -> DataFrame:
     rows = t("field_candidates").select("job_id", "field_name", "id", "value", "confidence").distinct()
     best = listing.best_and_runner_up(rows, ["job_id", "field_name"], "confidence", [F.col("id"), F.col("value").asc_nulls_last()])
     return best.select("job_id", "field_name", "value", F.col("next_score").alias("next_confidence"))
@@ -215,19 +200,6 @@ def last_delivery(t, spark) -> DataFrame:
     return merge.last_wins(t("raw_notifications"), ["canonical_key"], ["updated_at"]).select("canonical_key", F.unix_micros("updated_at").alias("updated_us"))
 
 
-_JOBS_A = "(SELECT id, max(status) AS status, max(title) AS title FROM jobs WHERE confidence_score >= 0.5 GROUP BY id)"
-_JOBS_B = "(SELECT id, max(verification_status) AS status, max(organization) AS title FROM jobs WHERE confidence_score < 0.6 GROUP BY id)"
-
-
-@query(f"""SELECT coalesce(a.id,b.id) AS id, CASE WHEN a.id IS NULL THEN b.status ELSE coalesce(b.status,a.status) END AS status,
-CASE WHEN a.id IS NULL THEN b.title ELSE coalesce(nullif(a.title,''),b.title,a.title) END AS title,
-a.id IS NULL OR (b.id IS NOT NULL AND (coalesce(b.status,a.status) IS DISTINCT FROM a.status OR coalesce(nullif(a.title,''),b.title,a.title) IS DISTINCT FROM a.title)) AS changed
-FROM {_JOBS_A} a FULL JOIN {_JOBS_B} b ON a.id = b.id""")
-def keyed_merge(t, spark) -> DataFrame:
-    jobs = t("jobs")
-    table = jobs.where("confidence_score >= 0.5").groupBy("id").agg(F.max("status").alias("status"), F.max("title").alias("title"))
-    batch = jobs.where("confidence_score < 0.6").groupBy("id").agg(F.max("verification_status").alias("status"), F.max("organization").alias("title"))
-    return merge.keyed_merge(table, batch, ["id"], overwrite=["status"], fill=["title"])
 
 
 @query("""SELECT DISTINCT id, source_id FROM raw_items WHERE status = 'new' UNION ALL SELECT DISTINCT id, source_id FROM raw_items r WHERE notice_type = 'result' AND NOT EXISTS (SELECT 1 FROM raw_items n WHERE n.status = 'new' AND n.id = r.id)""")
@@ -252,16 +224,6 @@ def duplicate_rules(t, spark) -> DataFrame:
     return merge.duplicate_rules(rows, "id", [[F.col("a"), F.col("o"), F.col("closing_date")], [F.col("raw_item_id")]])
 
 
-@query("""SELECT r.canonical_key, sha256(coalesce(r.pdf_text,'')) AS digest FROM (SELECT DISTINCT canonical_key, pdf_text FROM raw_notifications) r
-LEFT JOIN (SELECT DISTINCT canonical_key, sha256(coalesce(title,'')) AS d FROM raw_notifications WHERE pdf_text_extracted) k ON r.canonical_key = k.canonical_key
-WHERE k.d IS DISTINCT FROM sha256(coalesce(r.pdf_text,''))""")
-def changed_content(t, spark) -> DataFrame:
-    rows = t("raw_notifications")
-    landed = rows.select("canonical_key", F.sha2(F.coalesce("pdf_text", F.lit("")), 256).alias("digest")).distinct()
-    state = rows.where("pdf_text_extracted").select("canonical_key", F.sha2(F.coalesce("title", F.lit("")), 256).alias("digest")).distinct()
-    return merge.changed_content(landed, state, "canonical_key", "digest")
-
-
 # ------------------------------------------------------------------ rival values
 
 
@@ -273,21 +235,16 @@ def field_unpivot(t, spark) -> DataFrame:
     return fuse.unpivot_fields(t("jobs"), ["id"], RAW_FIELDS).distinct()
 
 
-@query("""SELECT job_id, min(value) FILTER (field_name = 'salary') AS salary, min(value) FILTER (field_name = 'age_limit') AS age_limit, min(value) FILTER (field_name = 'total_vacancies') AS total_vacancies
-FROM field_candidates GROUP BY job_id""")
-def field_pivot(t, spark) -> DataFrame:
-    return fuse.pivot_fields(t("field_candidates"), "job_id", ["salary", "age_limit", "total_vacancies"])
-
-
 _FIELDS = ["age_limit", "application_end_date", "application_fee", "application_start_date", "qualification", "salary", "selection_process", "total_vacancies"]
 _PIVOT = ", ".join(f"min(value) FILTER (field_name = '{f}') AS {f}" for f in _FIELDS)
 
 
 @query(f"SELECT job_id, {_PIVOT} FROM field_candidates GROUP BY job_id")
-def field_pivot_whole(t, spark) -> DataFrame:
+def field_pivot(t, spark) -> DataFrame:
     return fuse.pivot_fields(t("field_candidates"), "job_id", _FIELDS)
 
 
+# What each kind of source counts for.
 _PRIORITY = "CASE source_type WHEN 'manual' THEN 700 WHEN 'official_pdf' THEN 600 WHEN 'official_page' THEN 500 WHEN 'apply_page' THEN 400 WHEN 'regex' THEN 300 WHEN 'llm' THEN 200 WHEN 'aggregator' THEN 100 ELSE 0 END"
 
 
@@ -370,7 +327,9 @@ def weekly_window_counts(t, spark) -> DataFrame:
     return sequences.window_counts(t("events").select("event_id", "user_id", seconds.alias("s")), "user_id", "s", 7 * 86400).select("event_id", "in_window")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s FROM events), g AS (SELECT user_id, list({a: CAST(NULL AS BIGINT), b: CAST(NULL AS BIGINT), s: s, id: event_id, ok: CAST([] AS BIGINT[])} ORDER BY s, event_id) AS l FROM e GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(l, lambda x, y: CASE WHEN x.a IS NULL OR x.a <= y.s - 86400 THEN {a: x.b, b: y.s, s: y.s, id: y.id, ok: list_append(x.ok, y.id)} ELSE x END, {a: CAST(NULL AS BIGINT), b: CAST(NULL AS BIGINT), s: CAST(0 AS BIGINT), id: CAST(0 AS BIGINT), ok: CAST([] AS BIGINT[])}).ok AS ok FROM g)
+SELECT e.user_id, e.event_id, list_contains(r.ok, e.event_id) AS allowed FROM e JOIN r ON e.user_id = r.user_id""")
 def rate_limited(t, spark) -> DataFrame:
     seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     return sequences.rate_limited(t("events").select("event_id", "user_id", seconds.alias("s")), "user_id", "event_id", "s", 2, 86400)
@@ -420,7 +379,7 @@ def json_entries(t, spark) -> DataFrame:
     return pages.json_values(t("raw_items"), "id", "detected_dates").distinct()
 
 
-@query()
+@query("""SELECT event_id, '{' || array_to_string(list_transform(json_keys(props), lambda k: '"' || k || '":"' || json_extract_string(props, '$.' || k) || '"'),',') || '}' AS object FROM events""")
 def json_salvage(t, spark) -> DataFrame:
     wrapped = F.concat(F.lit("Answer: "), F.col("props"), F.lit(" end"))
     return t("events").select("event_id", F.to_json(pages.json_salvage(wrapped, "map<string,string>")).alias("object"))
@@ -439,5 +398,5 @@ def domain_match(t, spark) -> DataFrame:
 
 @query()
 def similar_titles(t, spark) -> DataFrame:
-    block = [F.lower(F.trim("organization")), F.col("closing_date")]
+    block = [F.lower(F.trim("organization")), F.col("opening_date")]
     return resolve.similar_titles(t("jobs").dropDuplicates(["id"]), "id", "title", block)

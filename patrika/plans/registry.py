@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from patrika.plans import dates, extraction, parsing, records
+from patrika.plans import dates, extraction, feeds, parsing, records
 
-MODULES = [dates, records, extraction, parsing]
+MODULES = [dates, records, extraction, parsing, feeds]
 
 
 def queries() -> dict:

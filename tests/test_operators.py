@@ -100,7 +100,7 @@ def test_nested_chunks_query_reads_every_notice_type(spark, sf):
     from patrika.plans import registry
     from patrika.sources.tables import read_table
 
-    rows = registry.queries()["nested_chunks_of_source"](spark, sf)
+    rows = registry.queries()["nested_items_of_source"](spark, sf)
     items = read_table(spark, sf, "raw_items").join(read_table(spark, sf, "sources").select(F.col("id").alias("source_id")), "source_id", "left_semi")
     assert rows.agg(F.sum("items")).first()[0] == items.select("source_id", "id").distinct().count()
     assert rows.agg(F.max("items")).first()[0] <= 1000
@@ -112,8 +112,8 @@ def test_best_and_pivot_cover_every_field(spark, sf):
 
     candidates = read_table(spark, sf, "field_candidates")
     pairs = {(r.job_id, r.field_name) for r in candidates.select("job_id", "field_name").distinct().collect()}
-    best = [(r.job_id, r.field_name) for r in registry.queries()["best_and_runner_up_by_field"](spark, sf).collect()]
+    best = [(r.job_id, r.field_name) for r in registry.queries()["best_and_runner_up"](spark, sf).collect()]
     assert len(best) == len(pairs) and set(best) == pairs
     told = {(r.job_id, r.field_name) for r in candidates.where("value is not null").select("job_id", "field_name").distinct().collect()}
-    pivoted = registry.queries()["field_pivot_whole"](spark, sf).collect()
+    pivoted = registry.queries()["field_pivot"](spark, sf).collect()
     assert {(r.job_id, f) for r in pivoted for f in r.asDict() if f != "job_id" and r[f] is not None} == told
