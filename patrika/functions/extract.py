@@ -174,3 +174,15 @@ def bounded(c: Column, least: float, most: float) -> Column:
 def clamp(c: Column, digits: int = 3) -> Column:
     """Brought into 0..1 and rounded."""
     return F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)), digits)
+
+
+# Bounds of the numbers of a record; a value outside them is none.
+BOUNDS = {"age_min": (14, 80), "age_max": (14, 100), "vacancies": (1, 1_000_000), "fee": (0, 1_000_000), "confidence": (0, 1)}
+
+
+def read_details(c: Column, numbers: dict[str, tuple[float, float]], texts: list[str], dates: list[str]) -> Column:
+    """A record out of JSON: numbers within their bounds, squeezed texts, dates; null if the JSON cannot be read or no field has a value."""
+    read = F.from_json(c, "map<string,string>")
+    fields = [bounded(to_number(read[n]), *b).alias(n) for n, b in numbers.items()] + [nonempty(squeeze(read[n])).alias(n) for n in texts] + [parse_date(squeeze(read[n])).alias(n) for n in dates]
+    found = reduce(lambda a, b: a | b, [f.isNotNull() for f in fields])
+    return F.when(read.isNotNull() & found, F.struct(*fields))

@@ -95,3 +95,21 @@ def fitted(width: Column, height: Column, to_width: Column, to_height: Column, k
     pick = F.least if kind == "contain" else F.greatest
     scale = pick(to_width / width, to_height / height)
     return F.struct(F.greatest(F.bround(width * scale, 0).cast("int"), F.lit(1)).alias("width"), F.greatest(F.bround(height * scale, 0).cast("int"), F.lit(1)).alias("height"))
+
+
+def size_floor(raw: Column, profile: str) -> Column:
+    """The least size a compressed file may have, so that profiles stay apart: a share of the raw size, greater for small files; 0 for none."""
+    small, large = {"balanced": (0.75, 0.65), "high": (0.90, 0.85)}.get(profile, (0.0, 0.0))
+    return F.floor(raw * F.when(raw < 20 * 1024, small).otherwise(large)).cast("bigint")
+
+
+def compressed_size(raw: Column, made: Column, profile: str) -> Column:
+    """The size after floors: never below the floor, never above the raw size."""
+    return F.least(F.greatest(made, size_floor(raw, profile)), raw)
+
+
+def best_quality(tries: DataFrame, key: str, quality: str, size: str, most: Column) -> DataFrame:
+    """(key, quality, size): the highest quality whose size is within `most`, else the lowest tried."""
+    row = F.struct(F.col(quality).alias("quality"), F.col(size).alias("size"))
+    best = F.coalesce(F.max_by(row, F.when(F.col(size) <= most, F.col(quality))), F.min_by(row, quality))
+    return tries.groupBy(key).agg(best.alias("_b")).select(key, "_b.quality", "_b.size")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from patrika.plans import dates, extraction, feeds, parsing, records
+from patrika.plans import dates, extraction, feeds, files, parsing, records
 
-MODULES = [dates, records, extraction, parsing, feeds]
+MODULES = [dates, records, extraction, parsing, feeds, files]
 
 
 def queries() -> dict:
