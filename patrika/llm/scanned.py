@@ -1,17 +1,17 @@
 """Repair of text read from scanned pages.
 
 Three kinds of noise are found line by line: page furniture (running heads, feet, page numbers), words split by the line
-end, and misread characters. Furniture is told by where a line stands on its page, by its form, and by whether it
-comes again. Characters are corrected by an averaged perceptron that chooses, for each word, between keeping it and
-replacing characters by the pairs of LETTER_SLIPS and DIGIT_SLIPS, one or two a word. It is trained on words of
-the corpus that are spoilt at random, and sees how often a word and its correction occur in all texts.
+end, and misread characters. An averaged perceptron edits: for each word it chooses between keeping it, replacing characters by the
+pairs of LETTER_SLIPS and DIGIT_SLIPS, one or two a word, and, in a word that the texts hardly know, deleting or inserting one; for
+each hyphen at a line end, between joining the parts and keeping the hyphen. It is trained on words of the corpus that are spoilt
+and split at random, and sees how often a word, its correction, its parts and the whole occur in all texts.
 
-The rest are fixed rules: furniture (furniture_lines) and the joining of split words (split_here, by counts of the
-whole word and its parts). A character that is lost, or added beyond those pairs, is not found.
+Furniture is told by fixed rules: where a line stands on its page, its form, and whether it comes again (furniture_lines).
+Only replaced characters count as misread; lost and added ones are repaired.
 
 Word counts cover all texts; the lexicon kept from them is bounded by `lexicon_words`, the training sample by
-`sample_words`. Both are parameters of the model. Decisions are kept per distinct word, so a text costs one
-look-up a word.
+`sample_words`. Both are parameters of the model. The most frequent tokens are decided once for all tasks, the others where
+they are met; decisions are kept per distinct token, so a text costs one look-up a token.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patrika.session import cut_lineage, spread
+
 # What a scanner reads, and what was printed.
 LETTER_SLIPS = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("|", "l"), ("@", "a"), ("5", "s"), ("$", "s"), ("8", "b"), ("9", "g"), ("6", "b"),
@@ -94,7 +96,10 @@ class Editor:
 
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
+        self.total = max(1, sum(counts.values()))
         self.weights: dict[str, float] = {}
+        self.gap_weights: dict[str, float] = {}
+        self.join_weights: dict[str, float] = {}
 
     def count(self, word: str) -> int:
         n = self.counts.get(word, 0)
@@ -114,7 +119,7 @@ class Editor:
             wrong = word[start : start + length]
             left, after = word[start - 1 : start] if start else "", word[start + length : start + length + 1]
             slip = f"{wrong}>{right}"
-            out += [f"slip:{slip}", f"slip:{slip}:{_kind(left)}{_kind(after)}", f"slip:{slip}:{ratio}", f"kinds:{_kind(wrong[0])}{_kind(right[0])}:{_kind(left)}{_kind(after)}", f"kinds:{_kind(wrong[0])}{_kind(right[0])}:{there > 0}"]
+            out += [f"slip:{slip}", f"slip:{slip}:{_kind(left)}{_kind(after)}", f"slip:{slip}:{ratio}", f"kinds:{_kind(wrong[:1])}{_kind(right[:1])}:{_kind(left)}{_kind(after)}", f"kinds:{_kind(wrong[:1])}{_kind(right[:1])}:{there > 0}"]
             shown = raw[start : start + 1] if len(raw) == len(word) else ""
             if shown and shown.islower() and raw.upper() != raw and sum(c.isupper() for c in raw) > len(raw) // 2:
                 out.append("low in capitals")
@@ -124,12 +129,21 @@ class Editor:
         w = self.weights
         return sum(w.get(f, 0.0) for f in features)
 
+    def lost_or_added(self, word: str, own: int) -> list[tuple[int, int, str]]:
+        """Single letters to delete or insert that make a far more frequent word of one that is hardly known."""
+        if own > 2 or not 5 <= len(word) <= 40 or not (word.isascii() and word.isalpha()):
+            return []
+        least, counts = 20 * max(1, own), self.counts
+        out = [(i, 1, "") for i in range(len(word)) if counts.get(word[:i] + word[i + 1 :], 0) >= least]
+        return out + [(i, 0, c) for i in range(len(word) + 1) for c in "abcdefghijklmnopqrstuvwxyz" if counts.get(word[:i] + c + word[i:], 0) >= least]
+
     def candidates(self, word: str) -> list[tuple]:
-        singles = proposals(word)[:40]
+        singles = proposals(word)
         out: list[tuple] = [(), *((e,) for e in singles)]
-        if 1 < len(singles) <= 14:
-            for i, a in enumerate(singles):
-                out += [(a, b) for b in singles[i + 1 :] if a[0] + a[1] <= b[0] or b[0] + b[1] <= a[0]]
+        # two slips in one word: where it has many places for them, only pairs that make a word of the texts
+        few = len(singles) <= 14
+        for i, a in enumerate(singles):
+            out += [(a, b) for b in singles[i + 1 :] if (a[0] + a[1] <= b[0] or b[0] + b[1] <= a[0]) and (few or self.counts.get(apply(word, (a, b)), 0) > 0)]
         return out
 
     def best(self, word: str, raw: str, hide: str | None = None, seen: int | None = None) -> tuple:
@@ -189,6 +203,86 @@ class Editor:
                             total[f] -= step
         self.weights = {f: w - total[f] / step for f, w in weights.items() if w - total[f] / step}
 
+    # letters lost or added
+
+    def gap_features(self, word: str, own: int, edit: tuple[int, int, str]) -> list[str]:
+        start, length, right = edit
+        kind, letter = ("insert", right) if right else ("delete", word[start])
+        there = self.counts.get(apply(word, (edit,)), 0)
+        beside = letter in (word[start - 1 : start], word[start + length : start + length + 1])
+        return ["bias", f"{kind}:{beside}", f"{kind}:{min(len(word), 10)}", f"own:{own}:{(there // max(1, own)).bit_length()}", f"place:{kind}:{'first' if not start else 'last' if start + length >= len(word) else 'inside'}"]
+
+    def gap(self, word: str) -> tuple:
+        """The edit of a lost or added letter in a word that is kept otherwise; empty if it is whole."""
+        own = self.count(word)
+        scored = [(sum(self.gap_weights.get(f, 0.0) for f in self.gap_features(word, own, e)), e) for e in self.lost_or_added(word, own)]
+        best = max(scored, default=(0.0, None))
+        return (best[1],) if best[0] > 0 else ()
+
+    def fit_gaps(self, words: list[str], rounds: int = 4, seed: int = 13) -> None:
+        """Train on `words` without one of their letters or with one doubled, and on the rarest words of the texts, which are whole."""
+        rng = random.Random(seed)
+        cases: list[tuple[list[str], int]] = []
+        for word in words:
+            if len(word) >= 6 and word.isascii() and word.isalpha():
+                i = rng.randrange(len(word))
+                for shown, gold in ((word[:i] + word[i + 1 :], (i, 0, word[i])), (word[:i] + word[i] + word[i:], (i, 1, ""))):
+                    if shown not in self.counts:
+                        own = rng.choice((0, 1))
+                        cases += [(self.gap_features(shown, own, e), 1 if apply(shown, (e,)) == apply(shown, (gold,)) else -1) for e in self.lost_or_added(shown, own)]
+        rare = sorted(w for w, n in self.counts.items() if n <= 2 and len(w) >= 5 and w.isascii() and w.isalpha())
+        for word in rng.sample(rare, min(len(rare), len(words))):
+            cases += [(self.gap_features(word, self.counts[word], e), -1) for e in self.lost_or_added(word, self.counts[word])]
+        self.gap_weights = _averaged(cases, rounds, rng)
+
+    # joining parts at a line end
+
+    def _share(self, n: int) -> str:
+        """How frequent a word is among all, so that a decision does not change as the corpus grows."""
+        return "0" if n <= 0 else str(max(0, int(n * 1_000_000 / self.total)).bit_length())
+
+    def join_features(self, joined: int, hyphened: int, left: int, right: int, sizes: tuple[int, int]) -> list[str]:
+        """Counts of the whole word, of the word with its hyphen and of the parts on their own."""
+        more = "none" if not joined and not hyphened else "joined" if joined >= hyphened else "hyphened"
+        halves = self._share(min(left, right))
+        return ["bias", f"more:{more}", f"halves:{halves}:{more}", f"parts:{left > 0}{right > 0}:{more}", f"left:{self._share(left)}:{more}", f"right:{self._share(right)}:{more}", f"sizes:{min(4, sizes[0])}:{min(4, sizes[1])}:{more == 'none'}"]
+
+    def joins(self, features: list[str]) -> bool:
+        return sum(self.join_weights.get(f, 0.0) for f in features) >= 0
+
+    def fit_joins(self, words: list[str], rounds: int = 4, seed: int = 11) -> None:
+        """Train on `words` split anywhere, which are to be joined, and on words of the texts with a hyphen of their own, which are not."""
+        rng = random.Random(seed)
+        own = sorted(w for w, n in self.counts.items() if n > 1 and w.count("-") == 1 and all(p.isalpha() for p in w.split("-")))
+        cases: list[tuple[list[str], int]] = []
+        for word in words:
+            if len(word) >= 4:
+                k = rng.randrange(2, len(word) - 1)
+                # a third of the words are unknown to the texts as a whole
+                joined = 0 if rng.random() < 0.33 else self.counts[word]
+                cases.append((self.join_features(joined, 0, self.counts.get(word[:k], 0), self.counts.get(word[k:], 0), (k, len(word) - k)), 1))
+        for word in rng.choices(own, k=len(cases)) if own else []:
+            a, b = word.split("-")
+            hyphened = 0 if rng.random() < 0.33 else self.counts[word]
+            cases.append((self.join_features(self.counts.get(a + b, 0), hyphened, self.counts.get(a, 0), self.counts.get(b, 0), (len(a), len(b))), -1))
+        self.join_weights = _averaged(cases, rounds, rng)
+
+
+def _averaged(cases: list[tuple[list[str], int]], rounds: int, rng: random.Random) -> dict[str, float]:
+    """Weights of an averaged perceptron over (features, 1 or -1)."""
+    weights: dict[str, float] = defaultdict(float)
+    total: dict[str, float] = defaultdict(float)
+    step = 1
+    for _ in range(rounds):
+        rng.shuffle(cases)
+        for features, gold in cases:
+            step += 1
+            if (1 if sum(weights[f] for f in features) >= 0 else -1) != gold:
+                for f in features:
+                    weights[f] += gold
+                    total[f] += gold * step
+    return {f: w - total[f] / step for f, w in weights.items()}
+
 
 def train_editor(counts: dict[str, int], sample_words: int, min_count: int = 20) -> Editor:
     """An editor over `counts`, trained on `sample_words` words that are not slips of far more frequent ones: two thirds the most frequent, the rest drawn from all."""
@@ -200,7 +294,10 @@ def train_editor(counts: dict[str, int], sample_words: int, min_count: int = 20)
     words = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n > 1 and len(w) > 1 and sound(w)]
     often = [w for w in words if counts[w] >= min_count][: sample_words * 2 // 3]
     seldom = words[len(often) :]
-    editor.fit(often + random.Random(3).sample(seldom, min(len(seldom), sample_words - len(often))))
+    chosen = often + random.Random(3).sample(seldom, min(len(seldom), sample_words - len(often)))
+    editor.fit_joins(list(chosen))
+    editor.fit_gaps(list(chosen))
+    editor.fit(chosen)
     return editor
 
 
@@ -286,8 +383,9 @@ def furniture_lines(lines: list[str]) -> set[int]:
 class Reader:
     """Reads texts with an editor; decisions on words are kept."""
 
-    def __init__(self, editor: Editor, memo: int = 400_000):
-        self.editor, self.limit, self.known = editor, memo, {}
+    def __init__(self, editor: Editor, decided: dict[str, tuple] | None = None, memo: int = 400_000):
+        self.editor, self.limit, self.decided = editor, memo, decided or {}
+        self.known = dict(self.decided)
 
     def edits(self, raw: str) -> tuple:
         """Edits of one bare token; positions are those of `raw`."""
@@ -296,12 +394,13 @@ class Reader:
             word = raw.lower()
             if len(word) != len(raw) or len(word) > 40 or _ORDINAL.fullmatch(word) or word.isdigit() or not any(c.isalnum() for c in word) or "http" in word or "www." in word:
                 got = ()
-            elif not proposals(word):
-                got = ()
             else:
-                got = self.editor.best(word, raw)
-            if len(self.known) >= self.limit:
-                self.known.clear()
+                got = self.editor.best(word, raw) if proposals(word) else ()
+                # a lost or added letter explains what no replacement makes a word of
+                if not got or not self.editor.count(apply(word, got)):
+                    got = self.editor.gap(word) or got
+            if len(self.known) >= self.limit + len(self.decided):
+                self.known = dict(self.decided)
             self.known[raw] = got
         return got
 
@@ -310,17 +409,16 @@ class Reader:
         if mark != "-":
             return True
         count = self.editor.counts
-        hyphened = joined = halves = 0
+        hyphened = joined = 0
+        halves = (0, 0)
         # a part that no text has on its own must not be corrected before it is read with the other
         for a in {left.lower(), apply(left.lower(), self.edits(left))}:
             for b in {right.lower(), apply(right.lower(), self.edits(right))}:
                 last = a.rsplit("-", 1)[-1]
                 hyphened = max(hyphened, count.get(f"{a}-{b}", 0), count.get(f"{last}-{b}", 0))
                 joined = max(joined, count.get(last + b, 0))
-                halves = max(halves, min(count.get(a, 0), count.get(b, 0)))
-        if hyphened or joined:
-            return joined >= hyphened
-        return halves <= 50
+                halves = max(halves, (count.get(a, 0), count.get(b, 0)), key=min)
+        return self.editor.joins(self.editor.join_features(joined, hyphened, *halves, (len(left), len(right))))
 
     def read(self, text: str) -> tuple[list[tuple[int, str]], str]:
         """((line_no, defect) pairs, the repaired text)."""
@@ -374,7 +472,9 @@ class Reader:
                         at = token.index(bare)
                         fixed = bare
                         for start, length, right in sorted(edits, reverse=True):
-                            if n == 0 and first and at + start < first:
+                            if not length or not right:
+                                pass
+                            elif n == 0 and first and at + start < first:
                                 misread.add(body[k - 1] if lines[body[k - 1]].strip() else i)
                             else:
                                 misread.add(i)
@@ -401,12 +501,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        words: Counter = Counter()
+        bare: Counter = Counter()
         for token, n in seen.items():
-            if token[-1] not in HYPHENS and len(token) < 60 and (word := word_key(token)) and any(c.isalpha() for c in word):
-                words[word] += n
+            if (raw := token.strip(_EDGE)) and any(c.isalnum() for c in raw):
+                # a part before a line end is no word, but it is read
+                bare[raw, token[-1] not in HYPHENS] += n
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(words.keys()), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+        words = [raw.lower() if whole and any(c.isalpha() for c in raw) else None for raw, whole in bare]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([raw for raw, _ in bare], pa.string()), pa.array(list(bare.values()), pa.int64())], names=["word", "raw", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -417,25 +519,48 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def fit_editor(texts: DataFrame, lexicon_words: int = 60_000, sample_words: int = 1_500) -> Editor:
-    """Count the words of all `texts` (column text), keep the most frequent `lexicon_words`, train on `sample_words` of them."""
-    counted = texts.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("n").desc(), "word").limit(lexicon_words).collect()
-    return train_editor({r.word: r.n for r in top}, sample_words)
+def fit_editor(texts: DataFrame, lexicon_words: int = 60_000, sample_words: int = 1_500, decided_tokens: int = 100_000) -> tuple[Editor, dict[str, tuple]]:
+    """(editor, decisions): count the words of all `texts` (column text), keep the most frequent `lexicon_words`, train on `sample_words` of them.
+
+    decisions holds the edits of the most frequent `decided_tokens` different tokens, made once in Arrow batches; it only saves
+    deciding them again in every task.
+    """
+    spark = texts.sparkSession
+    counted = cut_lineage(texts.select("text").mapInArrow(_count_words, "word string, raw string, n bigint").groupBy("word", "raw").agg(F.sum("n").alias("n")))
+    top = counted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(lexicon_words).collect()
+    editor = train_editor({r.word: r.n for r in top}, sample_words)
+    shared = spark.sparkContext.broadcast((editor.counts, editor.weights, editor.gap_weights, editor.join_weights))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(_editor(shared.value))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("right", pa.string())]))
+        for batch in batches:
+            raws = batch.column(0).to_pylist()
+            edits = [[{"start": a, "length": b, "right": c} for a, b, c in reader.edits(raw)] for raw in raws]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(edits, kind)], names=["raw", "edits"])
+
+    tokens = counted.groupBy("raw").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "raw").limit(decided_tokens).select("raw")
+    rows = spread(tokens, "raw").mapInArrow(decide, "raw string, edits array<struct<start:int,length:int,right:string>>").collect()
+    return editor, {r.raw: tuple((e.start, e.length, e.right) for e in r.edits) for r in rows}
+
+
+def _editor(values: tuple) -> Editor:
+    editor = Editor(values[0])
+    editor.weights, editor.gap_weights, editor.join_weights = values[1:4]
+    return editor
 
 
-def repair_scans(texts: DataFrame, editor: Editor) -> DataFrame:
+def repair_scans(texts: DataFrame, fitted: tuple[Editor, dict[str, tuple]]) -> DataFrame:
     """(field_name, record_id, defects, repaired) for every row of `texts` (field_name, record_id, text).
 
     defects is array<struct<line_no, defect>>, repaired the text without furniture, its words joined and corrected, one
     line a paragraph. Null texts give no defects and a null text, empty ones an empty text. Repeated rows are repaired alike.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((editor.counts, editor.weights))
+    editor, decided = fitted
+    shared = texts.sparkSession.sparkContext.broadcast((editor.counts, editor.weights, editor.gap_weights, editor.join_weights, decided))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Editor(shared.value[0])
-        own.weights = shared.value[1]
-        reader = Reader(own)
+        reader = Reader(_editor(shared.value), shared.value[4])
         kind = pa.list_(pa.struct([("line_no", pa.int32()), ("defect", pa.string())]))
         for batch in batches:
             defects, repaired = [], []
