@@ -184,36 +184,68 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=["doc_id", "item_id", "position", "words", "exact"])
 
 
+def _could_hold(present: np.ndarray, weight: np.ndarray, window: int, share: float) -> np.ndarray:
+    """could_hold for many documents at once: `present` says for each which words of the item it has, position by position."""
+    sums = np.cumsum(np.where(present, weight * (1 - share), -weight * share), axis=1)
+    sums = np.concatenate([np.zeros((len(sums), 1)), sums], axis=1)
+    lowest = np.minimum.accumulate(sums, axis=1)
+    return (sums[:, window:] >= lowest[:, : sums.shape[1] - window]).any(axis=1)
+
+
 def _hits(plans: list[tuple], held: dict[str, np.ndarray], least: float, share: float, slack: int) -> list[tuple]:
-    """(doc_id, item_id, position, words, exact) of the first passage of each item in each document of one shard."""
+    """(doc_id, item_id, position, words, exact) of the first passage of each item in each document of one shard.
+
+    Documents that lack too many of the rarest terms are left out first, then those that lack too much of the item's weight; only
+    in the others are positions intersected.
+    """
+    if "" not in held:
+        return []
+    ids = held[""]
+    places = {term: (postings >> 32).astype(np.int32) for term, postings in held.items() if term}
+    docs = {term: at[np.r_[True, at[1:] != at[:-1]]] for term, at in places.items()}
     out = []
     for item_id, words, weight, window, need, anchors in plans:
-        lists = [held[words[k]] - k for k in anchors if words[k] in held]
-        if len(lists) < need and sum(map(len, lists)) < need:
+        met = np.zeros(len(ids), dtype=np.int32)
+        for k in anchors:
+            if words[k] in docs:
+                met[docs[words[k]]] += 1
+        asked = np.flatnonzero(met >= need)
+        if not len(asked):
+            continue
+        present = np.zeros((len(asked), len(words)), dtype=bool)
+        where = np.full(len(ids), -1, dtype=np.int32)
+        where[asked] = np.arange(len(asked))
+        for i, word in enumerate(words):
+            if word in docs:
+                at = where[docs[word]]
+                present[at[at >= 0], i] = True
+        asked = asked[_could_hold(present, np.array(weight), window, share)]
+        if not len(asked):
             continue
+        wanted = np.zeros(len(ids), dtype=bool)
+        wanted[asked] = True
+        lists = [held[words[k]][wanted[places[words[k]]]] - k for k in anchors if words[k] in held]
         offsets = np.sort(np.concatenate(lists))
         meets = offsets[: len(offsets) - need + 1][offsets[need - 1 :] - offsets[: len(offsets) - need + 1] <= slack]
         if not len(meets):
             continue
-        own = {w: held[w] for w in set(words) if w in held}
         firsts = np.flatnonzero(np.r_[True, np.diff(meets >> 32) != 0])
         for starts in np.split(meets, firsts[1:]):
             document = int(starts[0]) >> 32
-            places: dict[int, str] = {}
-            for word, postings in own.items():
-                a, b = np.searchsorted(postings, [document << 32, (document + 1) << 32])
-                for p in postings[a:b].tolist():
-                    places[p] = word
-            if not could_hold(words, set(places.values()), weight, window, share):
-                continue
+            own: dict[int, str] = {}
+            for word in set(words):
+                if word in held:
+                    a, b = np.searchsorted(places[word], [document, document + 1])
+                    for p in held[word][a:b].tolist():
+                        own[p] = word
             tried = None
             for start in starts.tolist():
                 if tried is not None and start - tried <= 1:
                     continue
                 tried = start
-                spans, part, began, exact = locate_passage(words, places, start, weight, slack)
+                spans, part, began, exact = locate_passage(words, own, start, weight, slack)
                 if part >= share and spans >= len(words) * least:
-                    out.append((int(held[""][document]), item_id, (began & 0xFFFFFFFF) - _SHIFT, spans, exact))
+                    out.append((int(ids[document]), item_id, (began & 0xFFFFFFFF) - _SHIFT, spans, exact))
                     break
     return out
 
