@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +29,18 @@ def build_session(app_name: str = "patrika", master: str | None = None, **conf:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoint() at the cluster's shared folder (spark.checkpoint.dir).
 
-    A folder on this machine is used only where the cluster names none, as in tests.
+    A folder on this machine is used only where the cluster names none and there is but one machine, as in tests; it is removed at the end.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="patrika-checkpoint-"))
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="patrika-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    context.setCheckpointDir(shared)
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
