@@ -149,7 +149,8 @@ def score_tree(title: str, blocks: list[Block], nodes: list[Node]) -> list[Node]
             depth /= 2
             at = at.parent
         leaf_of[id(block)] = node
-    only = {id(n) for n in nodes if n.own == 1 and not any(c.parent is n for c in nodes)} if any(n.own > 0 for n in nodes) else set()
+    parents = {id(n.parent) for n in nodes}
+    only = {id(n) for n in nodes if n.own == 1 and id(n) not in parents}
     best, top = nodes[0], -1.0
     for node in nodes:
         if not node.chars or node.parent is None and len(nodes) > 1:

@@ -20,6 +20,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +39,14 @@ def token_counts(texts: DataFrame, vocabulary: str | None = None) -> DataFrame:
     Null texts are left out, an empty text has no tokens, repeated rows are counted each.
     """
     path = vocabulary or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
+    # shipped with the job: executors need no such folder
+    texts.sparkSession.sparkContext.addFile(path)
+    shipped = os.path.basename(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(shipped), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
