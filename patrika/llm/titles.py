@@ -5,8 +5,8 @@ body and the post. The words are brought to one spelling by the symmetric-delete
 they stand for in other titles. Titles with the same year, stage and number are then compared through fingerprints of their
 words, 128 bits in which a rare word sets more bits than a common one. A vantage-point tree finds all fingerprints within a Hamming
 radius: branches whose ring cannot meet the query's ball are pruned by the triangle inequality. Groups too large for one task are
-cut into shards by vantage points drawn from a bounded sample; a fingerprint nearer to a border than the radius goes to both
-sides, so that no pair within the radius is lost. The pairs found are checked by aligning their words.
+cut into shards by vantage points drawn from a bounded sample. One shard holds a fingerprint; the shards before it that its ball
+meets are asked for it, so that each pair within the radius is met once. The pairs found are checked by aligning their words.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ PLAIN = {
 }
 
 _YEAR = re.compile(r"\b(20\d\d)\b")
-_NUMBER = re.compile(r"\b(?:advt|advertisement|notification|notice|no)[a-z]*\W{0,3}(?:no\W{0,3})?(\d{1,4})\s*(?:/|-|of|\s)\s*((?:20)?\d\d)\b", re.I)
+_NUMBER = re.compile(r"\b(?:advt|advertisement|notification|notice|no)[a-z]*\W{0,3}(?:no\W{0,3})?(\d+)\s*(?:/|-|of|\s)\s*((?:20)?\d\d)\b", re.I)
 _COUNT = re.compile(r"\b\d[\d,]*\s+(?:posts?|vacanc[a-z]*)\b|\b(?:posts?|vacanc[a-z]*)\s*[:\-]\s*\d+", re.I)
 _DECORATIONS = ("latest", "new", "pdf", "apply online", "direct link", "official notice", "check details", "notification out")
 _DECORATION = re.compile(r"^\W*(?:latest|new|pdf|apply online|direct link|official notice|check details|notification out)\b[\s:|\-]+|[\s:|\-(]+(?:pdf|apply online|direct link|official notice|check details|notification out|new|latest)\W*$", re.I)
@@ -162,33 +163,35 @@ class VantageTree:
                 stack.append(far)
         return out
 
-
-    def pairs(self, radius: int, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All (i, j) with i > j within the radius: the whole set of queries goes down the tree at once and splits as it is pruned."""
-        high, low = np.ascontiguousarray(self.points[:, 0]), np.ascontiguousarray(self.points[:, 1])
-
-        def close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            d = np.bitwise_count(high[a][:, None] ^ high[b][None, :]) + np.bitwise_count(low[a][:, None] ^ low[b][None, :])
-            i, j = np.nonzero(d <= radius)
-            i, j = a[i], b[j]
-            return i[i > j], j[i > j]
-
-        stack = [(self.root, np.arange(len(self.points)))]
+    def near(self, points: np.ndarray, radius: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (i, j) with points[i] within the radius of the tree's j: the whole set of queries goes down the tree at once and splits as it is pruned."""
+        high, low = np.ascontiguousarray(points[:, 0]), np.ascontiguousarray(points[:, 1])
+        own_high, own_low = np.ascontiguousarray(self.points[:, 0]), np.ascontiguousarray(self.points[:, 1])
+        stack = [(self.root, np.arange(len(points)))]
         while stack:
             node, asked = stack.pop()
             if isinstance(node, np.ndarray):
+                to_high, to_low = own_high[node], own_low[node]
                 for k in range(0, len(asked), rows):
-                    yield close(asked[k : k + rows], node)
+                    some = asked[k : k + rows]
+                    d = np.bitwise_count(high[some][:, None] ^ to_high)
+                    d += np.bitwise_count(low[some][:, None] ^ to_low)
+                    at = np.flatnonzero(d <= radius)
+                    yield some[at // len(node)], node[at % len(node)]
                 continue
             vantage, middle, near, far = node
-            d = self._distances(asked, self.points[vantage])
-            hit = asked[(d <= radius) & (asked > vantage)]
+            d = np.bitwise_count(points[asked] ^ self.points[vantage]).sum(axis=1).astype(np.int32)
+            hit = asked[d <= radius]
             yield hit, np.full(len(hit), vantage)
-            # the vantage point is in neither branch: it asks as a query, and answers here
             for branch, chosen in ((near, asked[d - radius <= middle]), (far, asked[d + radius > middle])):
                 if len(chosen):
                     stack.append((branch, chosen))
 
+    def pairs(self, radius: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (i, j) with i > j within the radius."""
+        for i, j in self.near(self.points, radius, rows):
+            yield i[i > j], j[i > j]
+
 
 def plan_shards(sample: list[tuple[int, int]], depth: int, seed: int = 5) -> list[tuple[int, int, int]]:
     """Vantage points and medians of the upper levels of a tree, heap order: (high, low, middle), halves unsigned."""
@@ -228,45 +231,177 @@ def shards_of(point: int, levels: list[tuple[int, int, int]], radius: int) -> li
     return out
 
 
+def home_and_asked(point: int, levels: list[tuple[int, int, int]], radius: int) -> tuple[int, list[int]]:
+    """(the shard that holds a fingerprint, the shards before it that may hold others within the radius)."""
+    home = 0
+    while home < len(levels):
+        high, low, middle = levels[home]
+        home = 2 * home + (1 if (point ^ (high << 64 | low)).bit_count() <= middle else 2)
+    return home, [s for s in shards_of(point, levels, radius) if s < home]
+
+
 _LINK = ["field_name", "year", "stage", "number", "src", "dst"]
 
 
-def _links(radius: int):
+class _Words:
+    """Numbers for words, and for each what rules out at a glance that another stands for it."""
+
+    #: Lists of more words are not compared by numbers.
+    MOST = 16
+
+    def __init__(self):
+        self.ids: dict[str, int] = {}
+        self.letters, self.length, self.first, self.scope = [], [], [], []
+        self.arrays: tuple[np.ndarray, ...] = ()
+
+    def __call__(self, sigs: list[str]) -> np.ndarray:
+        """A row of numbers for each list of words, -1 after the last; a list that is too long begins with -2."""
+        out = np.full((len(sigs), self.MOST), -1, dtype=np.int32)
+        before = len(self.ids)
+        for k, sig in enumerate(sigs):
+            words = sig.split(" ")
+            if len(words) > self.MOST:
+                out[k, 0] = -2
+                continue
+            for i, word in enumerate(words):
+                n = self.ids.get(word)
+                if n is None:
+                    n = self.ids[word] = len(self.ids)
+                    mask = 0
+                    for c in word:
+                        mask |= 1 << (ord(c) % 64)
+                    for column, value in zip((self.letters, self.length, self.first, self.scope), (mask, len(word), ord(word.lstrip("=")[:1] or "="), word in SCOPE)):
+                        column.append(value)
+                out[k, i] = n
+        if len(self.ids) > before:
+            self.arrays = np.array(self.letters, dtype=np.uint64), np.array(self.length), np.array(self.first), np.array(self.scope)
+        return out
+
+    def may_align(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """False where two lists surely do not align: a word that one of them holds alone is near none of the other's, and none may be an acronym."""
+        out = np.ones(len(a), dtype=bool)
+        shared = (a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]
+        of_a, of_b = (a >= 0) & ~shared.any(axis=2), (b >= 0) & ~shared.any(axis=1)
+        width = np.maximum(of_a.sum(axis=1), of_b.sum(axis=1))
+        known = (a[:, 0] >= 0) & (b[:, 0] >= 0)
+        # most pairs differ in one word
+        for low, high in ((1, 1), (2, self.MOST // 2)):
+            at = np.flatnonzero((width >= low) & (width <= high) & known)
+            if len(at):
+                out[at] = self._may(*(np.take_along_axis(np.where(of, side, -1)[at], np.argsort(~of[at], axis=1, kind="stable")[:, :high], axis=1) for side, of in ((a, of_a), (b, of_b))))
+        return out
+
+    def _may(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        letters, length, first, scope = self.arrays
+        there = (p >= 0)[:, :, None] & (q >= 0)[:, None, :]
+        x, y = letters[p][:, :, None], letters[q][:, None, :]
+        same_first = first[p][:, :, None] == first[q][:, None, :]
+        # as `_same` does: an edit changes two letters of the set at most, a short form begins as its word and has no letter besides
+        apart, further = np.bitwise_count(x ^ y), np.abs(length[p][:, :, None] - length[q][:, None, :])
+        shorter = np.minimum(length[p][:, :, None], length[q][:, None, :])
+        near = (shorter >= np.where(same_first, 4, 6)) & (apart <= 2) & (further <= 1) | same_first & (shorter >= 9) & (apart <= 4) & (further <= 2)
+        near |= same_first & ((x & ~y == 0) | (y & ~x == 0))
+        near &= there
+        may = (near.any(axis=2) | (p < 0) | scope[p]).all(axis=1) & (near.any(axis=1) | (q < 0) | scope[q]).all(axis=1)
+        # as `acronym_of` does: it begins as one of several words and has the first letter of another, or is two of them in full
+        same_first &= there
+        for token, words, begins, within, axis in ((p, q, same_first, y & ~x == 0, 2), (q, p, same_first, x & ~y == 0, 1)):
+            held = letters[token]
+            bits = np.uint64(1) << (first[words] % 64).astype(np.uint64)
+            meets = there & ((held[:, :, None] & bits[:, None, :] if axis == 2 else held[:, None, :] & bits[:, :, None]) != 0)
+            may |= (begins.any(axis=axis) & (meets.sum(axis=axis) > 1) & ((length[token] <= 8) | (begins & within).any(axis=axis))).any(axis=1)
+        return may
+
+
+def _links(radius: int, asked_rows: int = 4096, pair_rows: int = 20_000):
     # whether two lists align depends on the words they do not share, on how many they share (none, one, more) and on a shared word of scope
     known: dict[tuple, bool] = {}
 
-    def pairs(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, str]]:
-        tree = VantageTree(np.array([r[1:] for r in rows], dtype=np.int64).view(np.uint64).reshape(-1, 2))
-        sets = [frozenset(r[0].split(" ")) for r in rows]
-        scope = [s & SCOPE for s in sets]
-        for left, right in tree.pairs(radius):
-            for i, j in zip(left.tolist(), right.tolist()):
-                a, b = sets[i], sets[j]
-                case = (a - b, b - a, min(len(a & b), 2), bool(scope[i] & scope[j]))
-                same = known.get(case)
-                if same is None:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                    same = known[case] = align(rows[i][0].split(" "), rows[j][0].split(" "), set()) > 0
-                if same:
-                    yield rows[i][0], rows[j][0]
+    def aligns(a: str, b: str) -> bool:
+        left, right = a.split(" "), b.split(" ")
+        x, y = frozenset(left), frozenset(right)
+        case = (x - y, y - x, min(len(x & y), 2), bool(x & y & SCOPE))
+        same = known.get(case)
+        if same is None:
+            if len(known) > 1_000_000:
+                known.clear()
+            same = known[case] = align(left, right, set()) > 0
+        return same
+
+    def checked(found: Iterator[tuple[np.ndarray, np.ndarray]], words: _Words, left: tuple[list[str], np.ndarray], right: tuple[list[str], np.ndarray]) -> Iterator[tuple[str, str]]:
+        for i, j in found:
+            for k in range(0, len(i), pair_rows):
+                a, b = i[k : k + pair_rows], j[k : k + pair_rows]
+                may = words.may_align(left[1][a], right[1][b])
+                for x, y in zip(a[may].tolist(), b[may].tolist()):
+                    if aligns(left[0][x], right[0][y]):
+                        yield left[0][x], right[0][y]
+
+    def gathered(found: Iterator[tuple[np.ndarray, np.ndarray]], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same pairs, `rows` of them or more at a time."""
+        held, n = [], 0
+        for pair in found:
+            if len(pair[0]):
+                held.append(pair)
+                n += len(pair[0])
+            if n >= rows:
+                yield np.concatenate([i for i, _ in held]), np.concatenate([j for _, j in held])
+                held, n = [], 0
+        if held:
+            yield np.concatenate([i for i, _ in held]), np.concatenate([j for _, j in held])
+
+    prints = lambda rows: np.array([r[1:] for r in rows], dtype=np.int64).view(np.uint64).reshape(-1, 2)
+
+    def shard(rows: Iterator[tuple[bool, str, int, int]], words: _Words) -> Iterator[tuple[str, str]]:
+        """Pairs of one shard: of those that it holds, which come first, and of each that asks with those."""
+        held: list[tuple[str, int, int]] = []
+        asking: list[tuple[str, int, int]] = []
+        tree, own = None, ([], np.empty(0))
+
+        def answer() -> Iterator[tuple[str, str]]:
+            sigs = [r[0] for r in asking]
+            yield from checked(gathered(tree.near(prints(asking), radius), pair_rows), words, (sigs, words(sigs)), own)
+            asking.clear()
+
+        def plant() -> Iterator[tuple[str, str]]:
+            nonlocal tree, own
+            tree, sigs = VantageTree(prints(held)), [r[0] for r in held]
+            own = (sigs, words(sigs))
+            yield from checked(gathered(tree.pairs(radius), pair_rows), words, own, own)
+
+        for asks, *row in rows:
+            if not asks:
+                held.append(tuple(row))
+                continue
+            if tree is None:
+                if not held:
+                    return
+                yield from plant()
+            asking.append(tuple(row))
+            if len(asking) >= asked_rows:
+                yield from answer()
+        if tree is None and len(held) > 1:
+            yield from plant()
+        if asking:
+            yield from answer()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each group whose fingerprints are within the radius and whose words align; rows come by group."""
-        group, rows = None, []
+        """Pairs of each shard whose fingerprints are within the radius and whose words align; rows come by shard."""
+        columns = ("field_name", "year", "stage", "number", "shard", "asks", "sig", "high", "low")
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in columns)))
         out: list[tuple] = []
-        for batch in batches:
-            for *key, sig, high, low in zip(*(batch.column(c).to_pylist() for c in ("field_name", "year", "stage", "number", "shard", "sig", "high", "low"))):
-                if key != group:
-                    if len(rows) > 1:
-                        out += [(*group[:4], a, b) for a, b in pairs(rows)]
-                    group, rows = key, []
-                rows.append((sig, high, low))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=_LINK)
-                out = []
-        if len(rows) > 1 and (out := [(*group[:4], a, b) for a, b in pairs(rows)]):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=_LINK)
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=_LINK)
+        words = _Words()
+        for key, own in groupby(rows, key=lambda row: row[:5]):
+            if len(words.ids) > 200_000:
+                words = _Words()
+            for a, b in shard((row[5:] for row in own), words):
+                out.append((*key[:4], a, b))
+                if len(out) >= 10_000:
+                    yield batch()
+                    out = []
+        if out:
+            yield batch()
 
     return link
 
@@ -409,17 +544,18 @@ def notice_classes(titles: DataFrame, radius: int = 6, shard_rows: int = 4000, s
     printed = cut_lineage(with_column(distinct.where("sig != ''"), "f", "struct<high:bigint,low:bigint>", print_of, "sig").select(*key, "sig", "n", "f.high", "f.low"))
     # at most a 4000th of the titles
     sizes = cut_lineage(printed.groupBy(*key).count().where(F.col("count") > shard_rows).withColumn("depth", F.ceil(F.log2(F.col("count") / shard_rows)).cast("int") + 1))
-    routed = printed.withColumn("shard", F.lit(-1))
+    routed = printed.withColumn("shard", F.lit(-1)).withColumn("asks", F.lit(False))
     if not sizes.isEmpty():
         large = printed.join(F.broadcast(sizes), key)
         sample = large.where(F.pmod(F.xxhash64("high", "low"), F.lit(1_000_000)) < F.lit(1_000_000 * sample_rows) / F.col("count"))
         # a plan has twice as many nodes as its group has shards
         plans = cut_lineage(sample.groupBy(*key).applyInPandas(_plan(sample_rows), "field_name string, year string, stage string, number string, levels array<bigint>"))
-        route = lambda high, low, levels: shards_of((high & (2**64 - 1)) << 64 | (low & (2**64 - 1)), [(levels[k] & (2**64 - 1), levels[k + 1] & (2**64 - 1), levels[k + 2]) for k in range(0, len(levels), 3)], radius)
+        route = lambda high, low, levels: dict(zip(("home", "asked"), home_and_asked((high & (2**64 - 1)) << 64 | (low & (2**64 - 1)), [(levels[k] & (2**64 - 1), levels[k + 1] & (2**64 - 1), levels[k + 2]) for k in range(0, len(levels), 3)], radius)))
         planned = large.drop("count", "depth").join(F.broadcast(plans), key)
-        cut = with_column(planned, "shards", "array<int>", route, "high", "low", "levels").withColumn("shard", F.explode("shards"))
+        cut = with_column(planned, "to", "struct<home:int,asked:array<int>>", route, "high", "low", "levels")
+        cut = cut.withColumn("shard", F.explode(F.concat(F.array("to.home"), "to.asked"))).withColumn("asks", F.col("shard") != F.col("to.home"))
         routed = cut.select(routed.columns).unionByName(routed.join(F.broadcast(sizes.select(*key)), key, "left_anti").select(routed.columns))
-    grouped = spread(routed, *key, "shard").sortWithinPartitions(*key, "shard", F.desc("n"), "sig")
+    grouped = spread(routed, *key, "shard").sortWithinPartitions(*key, "shard", "asks", F.desc("n"), "sig")
     links = grouped.mapInArrow(_links(radius), "field_name string, year string, stage string, number string, src string, dst string")
     tag = lambda c: F.concat_ws("\x01", *key, c)
     classes = connected_components(links.select(tag("src").alias("src"), tag("dst").alias("dst")))
